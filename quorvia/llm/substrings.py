@@ -34,12 +34,12 @@ from quorvia.llm.common import ChunkTable, id_and_text, id_ddl, mix64, quiet_gc
 
 WINDOW = 13
 #: Text bytes that a batch holds in about.
-BATCH_BYTES = 20 << 20
+BATCH_BYTES = 8 << 20
 BASE = np.uint64(0x9FB21C651E98DF25)
 LOW_BITS = 40
 _MASK = np.uint64((1 << LOW_BITS) - 1)
 
-_word_hash = ChunkTable(lambda w: xxhash.xxh3_64_digest(w), 400_000)
+_word_hash = ChunkTable(lambda w: xxhash.xxh3_64_digest(w), 100_000)
 
 
 def words_of(text: str | None) -> list[bytes]:
