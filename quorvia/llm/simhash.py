@@ -45,7 +45,7 @@ HUB = 256  # links verified in one stream
 _seeds = mix64(np.arange(1, LANES + 1, dtype=np.uint64) << np.uint64(32))
 #: Each byte value with its bits spread over the eight bytes of a word, to be summed side by side.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view("<u8").ravel()
-_word_hash = ChunkTable(lambda w: xxhash.xxh3_64_digest(w.encode()), 300_000)
+_word_hash = ChunkTable(lambda w: xxhash.xxh3_64_digest(w.encode()), 100_000)
 
 
 def agreement(similarity: float) -> float:
