@@ -89,7 +89,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if found:
         return found
-    if not sc.getConf().get("spark.master", "local").startswith("local"):
+    if not sc.getConf().get("spark.master", "local[1]").startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():

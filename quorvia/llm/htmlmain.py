@@ -148,7 +148,7 @@ def prices(b: Block) -> tuple[float, float]:
     """Cost of calling a block boilerplate, and of calling it content."""
     words = b.text.count(" ") + 1
     content = 1.0 + b.good + min(3.0, words / 12) + (1.0 if b.text[-1] in ".!?…。" else 0.0) + (1.0 if b.tag in ("p", "h1", "h2", "h3", "blockquote", "pre") else 0.0)
-    boilerplate = 1.0 + b.bad + 4.0 * b.links + (0.5 if words < 4 and b.tag not in ("h1", "h2", "h3", "p", "td") else 0.0)
+    boilerplate = 1.0 + b.bad + 4.0 * b.links + (0.5 if words < 4 and b.tag not in ("", "h1", "h2", "h3", "p", "td") else 0.0)
     return content, boilerplate
 
 
