@@ -18,7 +18,7 @@ from quorvia.judge import bundled, context_key, judge, latest_observations
 from quorvia.operators import calculate, check, compare, connect, control, extract, manage, organise, typed
 from quorvia.plans import programs as P
 from quorvia.plans.stages import StageDag, run_plan
-from quorvia.session import table
+from quorvia.session import shared_dir, table
 from quorvia.sources import catalog as C
 from quorvia.sources import csvfile
 
@@ -868,9 +868,7 @@ def plan_sql(spark, d):
 def materialize(spark, d):
     import uuid
 
-    from pyspark import SparkFiles  # noqa: F401
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/quorvia-generations-{uuid.uuid4().hex}"
+    folder = shared_dir(spark)
     out = manage.materialize(Tables(spark, d).orders.select("o_orderkey", "o_totalprice"), "the order is expensive", EXPENSIVE, f"{folder}/{uuid.uuid4().hex}")
     return spark.createDataFrame([(out["rows"], out["unresolved"], out["status"])], "rows bigint, unresolved bigint, status string")
 

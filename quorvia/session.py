@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -30,3 +33,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def register(spark: SparkSession, folder: str, names: list[str]) -> None:
     for name in names:
         table(spark, folder, name).createOrReplaceTempView(name)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A folder that all executors reach: ``spark.checkpoint.dir``, or where that is unset, which is
+    allowed on one machine only, a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{tempfile.gettempdir()}/quorvia-{uuid.uuid4().hex}"

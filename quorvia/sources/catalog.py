@@ -87,7 +87,7 @@ def create(spark: SparkSession, name: str, rows: list[dict], *, columns: dict[st
     kinds = columns or {n: infer([r.get(n) for r in rows]) for n in names}
     data = [tuple(coerce(r.get(n), kinds[n]) for n in names) for r in rows]
     df = spark.createDataFrame(data, T._parse_datatype_string(", ".join(f"`{n}` {TYPES[kinds[n]]}" for n in names)))
-    df.createOrReplaceTempView(name)
+    df.createOrReplaceTempView(f"`{name}`")
     return df
 
 
@@ -105,7 +105,7 @@ class Catalog:
         df = self.spark.read.format(fmt).options(**options).load(path)
         check_names(df.columns)
         self.sources[name] = {"path": path, "format": fmt, "options": options, "contract": fingerprint(df)}
-        df.createOrReplaceTempView(name)
+        df.createOrReplaceTempView(f"`{name}`")
         return df
 
     def validate(self, name: str) -> bool:
