@@ -805,13 +805,21 @@ _H = "(0.5 * list_sum(list_transform(list_zip(x.{0}, q.{0}), lambda z: power(sqr
 @query(f"WITH m AS ({_MX}), q AS (SELECT * FROM m WHERE o_orderkey = 1) SELECT x.o_orderkey, round(sqrt(({_H.format('a')} + {_H.format('c')}) / 2), 6) AS distance FROM m x, q")
 def embedding_distances(spark, d):
     rows = M.embed(Tables(spark, d).orders, BASIS, BOTH)
-    return M.embedding_distances(rows.where("o_orderkey = 1"), rows, id_col="o_orderkey").select("o_orderkey", F.round("distance", 6).alias("distance"))
+    return M.embedding_distances(rows.where("o_orderkey = 1"), rows, id_col="o_orderkey", basis=BASIS).select("o_orderkey", F.round("distance", 6).alias("distance"))
 
 
 @query(f"WITH m AS ({_MX}) SELECT x.o_orderkey, round(sqrt(({_H.format('a')} + {_H.format('c')}) / 2), 6) AS distance FROM m x JOIN m q ON q.o_orderkey = x.o_orderkey + 1")
 def embedding_distance(spark, d):
     rows = M.embed(Tables(spark, d).orders, BASIS, BOTH).select("o_orderkey", "matrix", "matrix_basis")
     nxt = rows.select((col("o_orderkey") - 1).alias("o_orderkey"), col("matrix").alias("m2"), col("matrix_basis").alias("b2"))
+    out = M.pair_distances(rows.join(nxt, "o_orderkey"), BASIS, "matrix", "m2", left_basis="matrix_basis", right_basis="b2")
+    return out.select("o_orderkey", F.round("distance", 6).alias("distance"))
+
+
+@query(f"WITH m AS ({_MX}) SELECT x.o_orderkey, round(sqrt(({_H.format('a')} + {_H.format('c')}) / 2), 6) AS distance FROM m x JOIN m q ON q.o_orderkey = x.o_orderkey + 1 WHERE x.o_orderkey < 1000")
+def embedding_distance_any_basis(spark, d):
+    rows = M.embed(Tables(spark, d).orders.where("o_orderkey <= 1000"), BASIS, BOTH).select("o_orderkey", "matrix", "matrix_basis")
+    nxt = rows.select((col("o_orderkey") - 1).alias("o_orderkey"), col("matrix").alias("m2"), col("matrix_basis").alias("b2"))
     return rows.join(nxt, "o_orderkey").select("o_orderkey", F.round(M.embedding_distance(col("matrix"), col("m2"), col("matrix_basis"), col("b2")), 6).alias("distance"))
 
 
