@@ -249,7 +249,7 @@ def filter_unresolved(spark, d):
     return _filtered(spark, d, "unresolved")
 
 
-@query("""SELECT p_partkey, path, round(weight, 6) AS weight FROM (
+@query("""SELECT p_partkey, path, round(weight::DOUBLE, 6) AS weight FROM (
   SELECT p_partkey, 'root/' || k.g || '/' || k.l AS path, k.w AS weight, row_number() OVER (PARTITION BY p_partkey ORDER BY k.w DESC, 'root/' || k.g || '/' || k.l) AS r
   FROM (SELECT p_partkey, CASE WHEN p_size > 25 THEN 0.7 ELSE 0.2 END AS big, p_type FROM part) p,
   LATERAL (SELECT 'big' AS g, 'promo' AS l, big * CASE WHEN p_type = 'PROMO' THEN 0.8 ELSE 0.3 END AS w UNION ALL SELECT 'big', 'rest', big * CASE WHEN p_type = 'PROMO' THEN 0.15 ELSE 0.65 END
@@ -558,7 +558,7 @@ def stage_aggregate(spark, d):
     return out.frame.withColumn("a", F.round("a", 4))
 
 
-@query("SELECT o_orderkey, rank() OVER w AS r, lag(o_totalprice) OVER w AS prev, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS roll, round(percent_rank() OVER w, 6) AS pr, round(cume_dist() OVER w, 6) AS cd FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
+@query("SELECT o_orderkey, (rank() OVER w)::INT AS r, lag(o_totalprice) OVER w AS prev, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS roll, round(percent_rank() OVER w, 6) AS pr, round(cume_dist() OVER w, 6) AS cd FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
 def stage_window(spark, d):
     dag, o, _ = _dag(spark, d)
     order = [["o_orderdate", "asc"], ["o_orderkey", "asc"]]
@@ -910,19 +910,19 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
     "sql_rollup": ("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP(o_orderstatus, o_orderpriority)", None),
     "sql_cube": ("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE(l_returnflag, l_linestatus)", None),
     "sql_grouping_sets": ("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())", None),
-    "sql_window_rank": ("SELECT c_custkey, row_number() OVER w AS rn, rank() OVER w AS r, dense_rank() OVER w AS dr, ntile(4) OVER w AS nt FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey)", None),
+    "sql_window_rank": ("SELECT c_custkey, row_number() OVER w AS rn, rank() OVER w AS r, dense_rank() OVER w AS dr, ntile(4) OVER w AS nt FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey)", "SELECT c_custkey, (row_number() OVER w)::INT AS rn, (rank() OVER w)::INT AS r, (dense_rank() OVER w)::INT AS dr, (ntile(4) OVER w)::INT AS nt FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey)"),
     "sql_window_values": ("SELECT o_orderkey, first_value(o_orderkey) OVER w AS f, last_value(o_orderkey) OVER w AS l, nth_value(o_orderkey, 2) OVER w AS n, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nx FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)", None),
     "sql_stats": ("SELECT c_mktsegment, round(stddev(c_acctbal), 4) AS s, round(stddev_pop(c_acctbal), 4) AS sp, round(variance(c_acctbal), 2) AS v, round(var_pop(c_acctbal), 2) AS vp FROM customer GROUP BY c_mktsegment", None),
     "sql_bool_aggs": ("SELECT c_nationkey, bool_and(c_acctbal > -900) AS a, bool_or(c_acctbal > 9900) AS o, logical_or(c_acctbal > 9900) AS l FROM customer GROUP BY c_nationkey", "SELECT c_nationkey, bool_and(c_acctbal > -900) AS a, bool_or(c_acctbal > 9900) AS o, bool_or(c_acctbal > 9900) AS l FROM customer GROUP BY c_nationkey"),
     "sql_percentile": ("SELECT c_mktsegment, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY c_acctbal), 4) AS m, percentile_disc(0.9) WITHIN GROUP (ORDER BY c_acctbal) AS d FROM customer GROUP BY c_mktsegment", None),
     "sql_string_agg": ("SELECT n_regionkey, string_agg(n_name, ',') WITHIN GROUP (ORDER BY n_nationkey) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_nationkey) AS names FROM nation GROUP BY n_regionkey"),
     "sql_array_agg": ("SELECT n_regionkey, count(*) AS n, array_agg(n_regionkey) AS ks FROM nation GROUP BY n_regionkey", None),
-    "sql_string": ("SELECT c_custkey, upper(c_name) AS u, lower(c_mktsegment) AS l, length(c_name) AS n, substring(c_name, 1, 8) AS s, left(c_name, 3) AS lf, right(c_name, 4) AS rt, replace(c_name, '#', '-') AS rp, split_part(c_name, '#', 2) AS sp, concat(c_name, '/', c_mktsegment) AS ct, concat_ws('-', c_mktsegment, c_name) AS cw, trim('  x ') AS t FROM customer", None),
+    "sql_string": ("SELECT c_custkey, upper(c_name) AS u, lower(c_mktsegment) AS l, length(c_name) AS n, substring(c_name, 1, 8) AS s, left(c_name, 3) AS lf, right(c_name, 4) AS rt, replace(c_name, '#', '-') AS rp, split_part(c_name, '#', 2) AS sp, concat(c_name, '/', c_mktsegment) AS ct, concat_ws('-', c_mktsegment, c_name) AS cw, trim('  x ') AS t FROM customer", "SELECT c_custkey, upper(c_name) AS u, lower(c_mktsegment) AS l, length(c_name)::INT AS n, substring(c_name, 1, 8) AS s, left(c_name, 3) AS lf, right(c_name, 4) AS rt, replace(c_name, '#', '-') AS rp, split_part(c_name, '#', 2) AS sp, concat(c_name, '/', c_mktsegment) AS ct, concat_ws('-', c_mktsegment, c_name) AS cw, trim('  x ') AS t FROM customer"),
     "sql_regexp": ("SELECT c_custkey, regexp_replace(c_name, '0', 'x', 'g') AS a, regexp_replace(c_name, '0', 'x') AS b FROM customer", None),
-    "sql_math": ("SELECT p_partkey, round(sqrt(p_retailprice), 4) AS a, round(power(p_size, 2), 2) AS b, round(log(p_retailprice), 6) AS c, round(ln(p_retailprice), 6) AS d, round(exp(p_size / 100.0), 6) AS e, mod(p_size, 7) AS m, abs(p_size - 25) AS ab, floor(p_retailprice / 7) AS f, ceil(p_retailprice / 7) AS g FROM part", "SELECT p_partkey, round(sqrt(p_retailprice), 4) AS a, round(power(p_size, 2), 2) AS b, round(log10(p_retailprice), 6) AS c, round(ln(p_retailprice), 6) AS d, round(exp(p_size / 100.0), 6) AS e, mod(p_size, 7) AS m, abs(p_size - 25) AS ab, floor(p_retailprice / 7) AS f, ceil(p_retailprice / 7) AS g FROM part"),
+    "sql_math": ("SELECT p_partkey, round(sqrt(p_retailprice), 4) AS a, round(power(p_size, 2), 2) AS b, round(log(p_retailprice), 6) AS c, round(ln(p_retailprice), 6) AS d, round(exp(p_size / 100.0), 6) AS e, mod(p_size, 7) AS m, abs(p_size - 25) AS ab, floor(p_retailprice / 7) AS f, ceil(p_retailprice / 7) AS g FROM part", "SELECT p_partkey, round(sqrt(p_retailprice), 4) AS a, round(power(p_size, 2), 2) AS b, round(log10(p_retailprice), 6) AS c, round(ln(p_retailprice), 6) AS d, round(exp(p_size / 100.0), 6) AS e, mod(p_size, 7) AS m, abs(p_size - 25) AS ab, floor(p_retailprice / 7)::BIGINT AS f, ceil(p_retailprice / 7)::BIGINT AS g FROM part"),
     "sql_null_functions": ("SELECT c_custkey, nullif(c_nationkey, 3) AS n, coalesce(nullif(c_nationkey, 3), -1) AS c, greatest(c_nationkey, 10) AS g, least(c_nationkey, 10) AS l, CASE WHEN c_acctbal < 0 THEN 'neg' ELSE 'pos' END AS k FROM customer", None),
     "sql_cast": ("SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(12,1)) AS d, TRY_CAST(o_orderpriority AS INT) AS t, CAST(o_custkey AS VARCHAR(20)) AS v FROM orders", None),
-    "sql_date": ("SELECT o_orderkey, extract(year FROM o_orderdate) AS y, extract(month FROM o_orderdate) AS m, date_trunc('month', o_orderdate) AS t, to_char(o_orderdate, 'YYYY-MM-DD') AS c, strftime(o_orderdate, '%d/%m/%Y') AS f FROM orders", "SELECT o_orderkey, extract(year FROM o_orderdate) AS y, extract(month FROM o_orderdate) AS m, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS t, strftime(o_orderdate, '%Y-%m-%d') AS c, strftime(o_orderdate, '%d/%m/%Y') AS f FROM orders"),
+    "sql_date": ("SELECT o_orderkey, extract(year FROM o_orderdate) AS y, extract(month FROM o_orderdate) AS m, date_trunc('month', o_orderdate) AS t, to_char(o_orderdate, 'YYYY-MM-DD') AS c, strftime(o_orderdate, '%d/%m/%Y') AS f FROM orders", "SELECT o_orderkey, extract(year FROM o_orderdate)::INT AS y, extract(month FROM o_orderdate)::INT AS m, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS t, strftime(o_orderdate, '%Y-%m-%d') AS c, strftime(o_orderdate, '%d/%m/%Y') AS f FROM orders"),
     "sql_date_parse": ("SELECT o_orderkey, to_date(substring(CAST(o_orderdate AS VARCHAR(30)), 1, 10), 'YYYY-MM-DD') AS d, datediff(to_date('2002-01-01', 'YYYY-MM-DD'), o_orderdate) AS days, date_add(CAST(o_orderdate AS DATE), 7) AS w, date_sub(CAST(o_orderdate AS DATE), 7) AS b FROM orders", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, datediff('day', CAST(o_orderdate AS DATE), DATE '2002-01-01')::INT AS days, CAST(CAST(o_orderdate AS DATE) + 7 AS DATE) AS w, CAST(CAST(o_orderdate AS DATE) - 7 AS DATE) AS b FROM orders"),
     "sql_json": ("SELECT event_id, CAST(json_extract_scalar(props, 'k') AS INT) AS k, jsonb_extract_scalar(props, '{k}') AS s FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, json_extract_string(props, '$.k') AS s FROM events"),
     "sql_between_like": ("SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 20 AND p_name LIKE '%ring%' AND NOT p_type IN ('SMALL', 'PROMO') AND p_brand IS NOT NULL", None),
