@@ -905,7 +905,7 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
     "sql_recursive_cte": ("WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n FROM t", None),
     "sql_scalar_subquery": ("SELECT o_orderkey FROM orders o WHERE o_totalprice > (SELECT 1.6 * avg(o_totalprice) FROM orders i WHERE i.o_orderpriority = o.o_orderpriority)", None),
     "sql_derived": ("SELECT k, n FROM (SELECT o_orderstatus AS k, count(*) AS n FROM orders GROUP BY o_orderstatus) x WHERE n > 10", None),
-    "sql_having_ordinal": ("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) > 1 ORDER BY 2 DESC LIMIT 3 OFFSET 1", None),
+    "sql_having_ordinal": ("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) > 1 ORDER BY 2 DESC, 1 LIMIT 3 OFFSET 1", None),
     "sql_distinct": ("SELECT DISTINCT p_brand, p_type FROM part", None),
     "sql_rollup": ("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP(o_orderstatus, o_orderpriority)", None),
     "sql_cube": ("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE(l_returnflag, l_linestatus)", None),
