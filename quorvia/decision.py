@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 VALUE, UNKNOWN, NOT_EVALUATED = "VALUE", "UNKNOWN", "NOT_EVALUATED"
-OPERATION_STATES = ("SUCCEEDED", "SKIPPED", "FAILED", "BLOCKED_BY_BUDGET", "BLOCKED_BY_DEPENDENCY", "BLOCKED_BY_POLICY", "TRUNCATED", "CANCELLED", "STALE", "BLOCKED_BY_REVIEW", "BLOCKED_BY_CONCURRENCY", "UNCERTAIN")
+OPERATION_STATES = tuple(sorted("SUCCEEDED SKIPPED TRUNCATED STALE CANCELLED UNCERTAIN FAILED".split() + [f"BLOCKED_BY_{x}" for x in ("REVIEW", "POLICY", "CONCURRENCY", "DEPENDENCY", "BUDGET")]))
 #: Which operation state speaks for a run, the first that occurs.
 RUN_PRIORITY = ("CANCELLED", "STALE", "FAILED", "BLOCKED_BY_BUDGET", "BLOCKED_BY_POLICY", "BLOCKED_BY_DEPENDENCY", "TRUNCATED", "SKIPPED", "SUCCEEDED")
 
@@ -68,14 +68,15 @@ def score_on(instructions: str, levels: int, subject: str | None = None) -> Ques
 
 @dataclass(frozen=True)
 class Policy:
-    accept: float = 0.8
-    reject: float = 0.2
     choice_min: float = 0.55
     score_confidence_min: float = 0.0
-    unknown_options: tuple[str, ...] = ("unknown", "insufficient", "none", "other")
+    #: A proposition is true from ``accept`` up and false from ``reject`` down.
+    accept: float = 0.8
+    reject: float = 0.2
+    unknown_options: tuple = tuple("insufficient none other unknown".split())
 
     def __post_init__(self):
-        if not 0 <= self.reject < self.accept <= 1:
+        if self.accept <= self.reject or self.reject < 0 or self.accept > 1:
             raise ValueError("a policy needs 0 <= reject < accept <= 1")
 
 
@@ -158,7 +159,7 @@ def resolve(question: Question, raw: Column, policy: Policy = Policy(), cached:
     return failed.otherwise(made)
 
 
-# -- logic ---------------------------------------------------------------------------------------
+# -- logic
 
 
 def is_value(d: Column) -> Column:
@@ -210,7 +211,7 @@ def decide(question: Question, context_sha: Column, expected: Column, raw: Colum
     return F.when(context_sha == expected, resolve(question, raw, policy)).otherwise(missing("STALE", "context"))
 
 
-# -- completeness ----------------------------------------------------------------------------------
+# -- completeness
 
 
 def coverage_columns(decision: Column) -> list[Column]:

@@ -9,12 +9,13 @@ from __future__ import annotations
 import re
 
 ALLOWED = frozenset(
-    """exists any all and or not case if coalesce nullif greatest least sum avg min max count stddev stddev_samp stddev_pop variance var_samp var_pop
-    bool_and bool_or logical_and logical_or array_agg string_agg group_concat percentile_cont percentile_disc row_number rank dense_rank percent_rank cume_dist
-    lag lead first_value last_value nth_value ntile round abs floor ceil ceiling power sqrt log ln exp mod lower upper length char_length concat concat_ws
-    substring trim ltrim rtrim replace regexp_replace split_part left right cast try_cast to_char to_date to_timestamp strftime time_to_str str_to_date
-    str_to_time ts_or_ds_to_date ts_or_ds_to_timestamp extract date_trunc timestamp_trunc date time timestamp date_add date_sub datediff current_date
-    current_timestamp current_time json_extract json_extract_scalar jsonb_extract jsonb_extract_scalar semantic semantic_feature""".split()
+    """abs all and any array_agg avg bool_and bool_or case cast ceil ceiling char_length coalesce concat concat_ws count cume_dist
+    current_date current_time current_timestamp date date_add date_sub date_trunc datediff dense_rank exists exp extract first_value
+    floor greatest group_concat if json_extract json_extract_scalar jsonb_extract jsonb_extract_scalar lag last_value lead least left
+    length ln log logical_and logical_or lower ltrim max min mod not nth_value ntile nullif or percent_rank percentile_cont
+    percentile_disc power rank regexp_replace replace right round row_number rtrim semantic semantic_feature split_part sqrt stddev
+    stddev_pop stddev_samp str_to_date str_to_time strftime string_agg substring sum time time_to_str timestamp timestamp_trunc to_char
+    to_date to_timestamp trim try_cast ts_or_ds_to_date ts_or_ds_to_timestamp upper var_pop var_samp variance""".split()
 )
 
 _PATTERN = (("YYYY", "yyyy"), ("YY", "yy"), ("MM", "MM"), ("DD", "dd"), ("HH24", "HH"), ("HH12", "hh"), ("HH", "hh"), ("MI", "mm"), ("SS", "ss"), ("Mon", "MMM"), ("Month", "MMMM"), ("Day", "EEEE"), ("Dy", "EEE"), ("AM", "a"), ("PM", "a"), ("US", "SSSSSS"), ("MS", "SSS"))

@@ -15,8 +15,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPAN = "array<struct<start: int, end: int, text: string>>"
-_SENTENCE = re.compile(r"[^\n.!?。！？]+(?:[.!?。！？]|$)")
-SENTENCE_SQL = r"[^\n.!?。！？]+(?:[.!?。！？]|$)"
+_ENDS = ".。!！?？"
+SENTENCE_SQL = rf"[^{_ENDS}\n]+(?:$|[{_ENDS}])"
+_SENTENCE = re.compile(SENTENCE_SQL)
 
 
 def sentence_spans(text: str | None) -> list[dict]:
@@ -74,8 +75,9 @@ def passages(text: Column, mode: str = "auto", token_limit: int = 160) -> Column
 _MONTHS = {m: i for i, m in enumerate("january february march april may june july august september october november december".split(), 1)}
 _DAYS = "monday tuesday wednesday thursday friday saturday sunday".split()
 _CN_DAYS = "一二三四五六日"
+_RELATIVE = dict(zip("yesterday today tomorrow 昨天 今天 明天".split(), (-1, 0, 1) * 2))
 _DATE = re.compile(
-    r"(?P<iso>\d{4}-\d{1,2}-\d{1,2})|(?P<cn>\d{4}\s?年\s?\d{1,2}\s?月\s?\d{1,2}\s?日)|(?P<slash>\d{1,2}/\d{1,2}/\d{4})"
+    r"(?P<iso>[0-9]{4}(?:-[0-9]{1,2}){2})|(?P<cn>[0-9]{4}\s?年\s?[0-9]{1,2}\s?月\s?[0-9]{1,2}\s?日)|(?P<slash>(?:[0-9]{1,2}/){2}[0-9]{4})"
     r"|(?P<named>(?i:january|february|march|april|may|june|july|august|september|october|november|december)\s+\d{1,2},?\s+\d{4})"
     r"|(?P<rel>(?i:\b(?:today|yesterday|tomorrow)\b)|今天|昨天|明天)|(?P<last>(?i:\blast\s+(?:monday|tuesday|wednesday|thursday|friday|saturday|sunday)\b)|上周[一二三四五六日天])"
 )
@@ -96,13 +98,13 @@ def date_spans(text: str | None, today: dt.date, locale: str) -> list[dict]:
             elif kind == "named":
                 value = dt.date(n[1], _MONTHS[s.split()[0].lower()], n[0])
             elif kind == "rel":
-                value = today + dt.timedelta({"today": 0, "今天": 0, "yesterday": -1, "昨天": -1, "tomorrow": 1, "明天": 1}[s.lower()])
+                value = today + dt.timedelta(_RELATIVE[s.lower()])
             elif kind == "last":
                 day = _DAYS.index(s.split()[-1].lower()) if s[0] not in "上" else _CN_DAYS.index(s[-1].replace("天", "日"))
                 value = today - dt.timedelta((today.weekday() - day - 1) % 7 + 1)
         except ValueError:
             value = None
-        out.append({"start": m.start(), "end": m.end(), "text": s, "value": value})
+        out.append(dict(zip(("start", "end", "text", "value"), (*m.span(), s, value))))
     return out
 
 
@@ -165,7 +167,7 @@ def number_column(text: Column, **options) -> Column:
     return run(text)
 
 
-_SCALAR = re.compile(r"[($€£¥]?\s?[-+−]?[$€£¥]?\d[\d,.]*\d%?\)?|\d%?|\d{4}-\d{1,2}-\d{1,2}|\d{4}年\d{1,2}月\d{1,2}日")
+_SCALAR = re.compile(r"[($€£¥]?\s?[-+−]?[$€£¥]?\d[\d,.]*\d%?\)?|\d%?")
 
 
 def scalar_spans(text: str | None) -> list[dict]:
@@ -176,9 +178,9 @@ def scalar_spans(text: str | None) -> list[dict]:
     return [{"start": s, "end": e, "text": text[s:e]} for s, e in sorted(spans)]
 
 
-_EN = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())} | {w: 10 * i for i, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split(), 2)}
+_EN = {w: i for i, w in enumerate("nineteen eighteen seventeen sixteen fifteen fourteen thirteen twelve eleven ten nine eight seven six five four three two one zero".split()[::-1])} | {w: 10 * i for i, w in enumerate("ninety eighty seventy sixty fifty forty thirty twenty".split()[::-1], 2)}
 _CN = {c: i for i, c in enumerate("零一二三四五六七八九")} | {"两": 2, "〇": 0}
-_CN_UNIT = {"十": 10, "百": 100, "千": 1000, "万": 10_000, "亿": 100_000_000}
+_CN_UNIT = dict(zip("十百千万亿", (10**k for k in (1, 2, 3, 4, 8))))
 
 
 def chinese_number(s: str) -> int | None:
@@ -201,14 +203,14 @@ def literals(request: str) -> dict[str, list]:
     """Numbers, quoted strings, dates and month ranges that a request names."""
     quoted = [a or b for a, b in re.findall(r"\"([^\"]*)\"|'([^']*)'", request)]
     rest = re.sub(r"\"[^\"]*\"|'[^']*'", " ", request)
-    dates = re.findall(r"\b\d{4}-\d{2}-\d{2}\b", rest)
-    rest = re.sub(r"\b\d{4}-\d{2}-\d{2}\b", " ", rest)
+    dates = re.findall(r"\b[0-9]{4}(?:-[0-9]{2}){2}\b", rest)
+    rest = re.sub(r"\b[0-9]{4}(?:-[0-9]{2}){2}\b", " ", rest)
     months = []
     for m in re.finditer(r"(?i)\b(" + "|".join(_MONTHS) + r")\s+(\d{4})\b", rest):
         first = dt.date(int(m[2]), _MONTHS[m[1].lower()], 1)
         months.append((first, (first.replace(day=28) + dt.timedelta(4)).replace(day=1) - dt.timedelta(1)))
     rest = re.sub(r"(?i)\b(" + "|".join(_MONTHS) + r")\s+\d{4}\b", " ", rest)
-    numbers = [Decimal(x.replace(",", "")) for x in re.findall(r"(?<![\w.])-?\d[\d,]*(?:\.\d+)?(?![\w])", rest)]
+    numbers = [Decimal(x.replace(",", "")) for x in re.findall(r"-?(?<![.\w])[0-9][,0-9]*(?:\.[0-9]+)?(?!\w)", rest)]
     numbers += [Decimal(_EN[w]) for w in re.findall(r"[a-z]+", rest.lower()) if w in _EN]
     numbers += [Decimal(n) for w in re.findall(r"[零一二三四五六七八九两〇十百千万亿]+", rest) if (n := chinese_number(w)) is not None]
     return {"numbers": numbers, "strings": quoted, "dates": [dt.date.fromisoformat(d) for d in dates], "months": months}

@@ -21,6 +21,7 @@ from quorvia.functions.dialect import ALLOWED, SHIMS, split_arguments
 _WORDS = frozenset("select from where on in as over and or not when then else between like filter group by having order union intersect except all distinct with values using exists any some partition rows range within limit offset join interval case end is recursive grouping sets rollup cube lateral desc asc decimal numeric varchar char unbounded preceding following".split())
 _FORBIDDEN = re.compile(r"(?i)\b(create|drop|alter|truncate|grant|revoke|insert|update|delete|merge|call|set|into|for\s+update|for\s+share|lock|refresh|cache|use|load|msck|analyze)\b")
 MAX_LENGTH = 30_000
+_CALL = r"\b(?!\d)(\w+)\s*\("
 
 
 class SqlError(ValueError):
@@ -51,7 +52,7 @@ def guard(text: str, extra: frozenset[str] = frozenset()) -> None:
         raise SqlError("no schema-qualified functions")
     # names of common tables may be followed by a parenthesis too
     names = {m.group(1).lower() for m in re.finditer(r"(?i)\b(\w+)\s*(?:\([\w\s,]*\))?\s+as\s*\(", bare)}
-    for m in re.finditer(r"\b([A-Za-z_]\w*)\s*\(", bare):
+    for m in re.finditer(_CALL, bare):
         word = m.group(1).lower()
         if word not in ALLOWED and word not in _WORDS and word not in names and word not in extra:
             raise SqlError(f"the function {word} isn't allowed")
@@ -62,7 +63,7 @@ def rewrite_calls(text: str, rules: dict[str, Callable[[list[str]], str]]) -> st
     at = len(text)
     while True:
         bare = masked(text)
-        calls = [m for m in re.finditer(r"\b([A-Za-z_]\w*)\s*\(", bare[:at]) if m.group(1).lower() in rules]
+        calls = [m for m in re.finditer(_CALL, bare[:at]) if m.group(1).lower() in rules]
         if not calls:
             return text
         m = calls[-1]
@@ -145,7 +146,7 @@ def run_sql(spark: SparkSession, text: str, semantics: Semantics | None = None,
     return spark.sql(prepare(text, semantics))
 
 
-# -- changes ---------------------------------------------------------------------------------------
+# -- changes
 
 
 def preview_change(df: DataFrame, key: list[str], where, assignments: dict | None, *, limit: int = 1_000) -> DataFrame:

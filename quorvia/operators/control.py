@@ -16,7 +16,7 @@ def settled(objective: str, target: int, positive: int, unresolved: int) -> bool
     if objective == "exists":
         return True if low >= 1 else False if high == 0 else None
     if objective == "count_at_least":
-        return True if low >= target else False if high < target else None
+        return low >= target if low >= target or target > high else None
     if objective == "count_at_most":
         return True if high <= target else False if low > target else None
     if objective == "exact_count":
@@ -175,7 +175,7 @@ def estimate(judgments: int, payload_bytes: int, *, batch: int = 32, tokens_limi
     requests, tokens = -(-judgments // batch), payload_bytes + 32 * judgments
     usd = tokens * usd_per_million / 1e6
     warnings = (["W02"] if judgments >= 10_000 else []) + (["W03"] if tokens > tokens_limit or usd > usd_limit or judgments > judgment_limit else [])
-    return {"judgments": judgments, "requests": requests, "tokens": tokens, "usd": usd, "warnings": warnings}
+    return {"warnings": warnings, "usd": usd, "tokens": tokens, "requests": requests, "judgments": judgments}
 
 
 def expansion(operator: str, **n: int) -> int:

@@ -51,7 +51,7 @@ def extract_date(subjects: DataFrame, *, id_col: str, text_col: str, reference:
 
 def iso_dates(text: Column) -> Column:
     """ISO dates in a text without offsets, by built-in expressions."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(r"\b\d{4}-\d{2}-\d{2}\b"), F.lit(0)), lambda d: F.try_to_date(d, "yyyy-MM-dd"))
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"\b[0-9]{4}(?:-[0-9]{2}){2}\b"), F.lit(0)), lambda d: F.try_to_date(d, "yyyy-MM-dd"))
     return F.filter(found, lambda d: d.isNotNull())
 
 

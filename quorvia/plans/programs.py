@@ -222,7 +222,7 @@ def cohorts(df: DataFrame, first: Column, second: Column, measure: Column, *, sh
     return out.select("*", (F.col("first_value") - F.col("second_value")).alias("difference"), (F.col("first_value") / safe).alias("ratio"), (F.col("first_value") * 100.0 / safe).alias("percentage"))
 
 
-# -- business rules --------------------------------------------------------------------------------
+# -- business rules
 
 _BIN = {ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: lambda a, b: a * b, ast.Div: lambda a, b: a * F.lit(1.0) / F.nullif(b, F.lit(0)), ast.Pow: F.pow}
 _CMP = {ast.Eq: lambda a, b: a == b, ast.NotEq: lambda a, b: a != b, ast.Lt: lambda a, b: a < b, ast.LtE: lambda a, b: a <= b, ast.Gt: lambda a, b: a > b, ast.GtE: lambda a, b: a >= b}

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quorvia.decision import Policy, choice_of, coverage_columns, missing, proposition, score_on
 from quorvia.judge import judge
-from quorvia.plans.terms import AGGREGATES, Field, TermError, lower
+from quorvia.plans.terms import AGGREGATES, RANKS, Field, TermError, lower
 
 _KINDS = {"byte": "integer", "short": "integer", "integer": "integer", "long": "integer", "float": "number", "double": "number", "decimal": "number", "string": "text", "boolean": "boolean", "date": "date", "timestamp": "datetime", "timestamp_ntz": "datetime", "variant": "json"}
 
@@ -32,7 +32,7 @@ class Stage:
     frame: DataFrame
     fields: dict[str, Field]
     grain: str
-    keys: tuple[tuple[str, ...], ...] = ()
+    keys: tuple = ()  # of tuples of columns
 
     def unique_on(self, columns) -> bool:
         return any(set(k) <= set(columns) for k in self.keys)
@@ -113,7 +113,7 @@ class StageDag:
 
         return self._add("aggregate", [s.name, groups, metrics], build, name)
 
-    def windows(self, s: Stage, functions: dict, *, partition=(), order=(), frame=None, name: str | None = None) -> Stage:
+    def windows(self, s: Stage, functions: dict, *, order=(), partition=(), name: str | None = None, frame=None) -> Stage:
         def build():
             w = W.partitionBy(*(F.col(f"`{p}`") for p in partition))
             if order:
@@ -125,7 +125,7 @@ class StageDag:
                 w = w.rowsBetween(lo, hi)
             df, fields = s.frame, dict(s.fields)
             for alias, (fn, *args) in functions.items():
-                if fn in ("rank", "dense_rank", "row_number", "percent_rank", "cume_dist"):
+                if fn in RANKS:
                     if not order:
                         raise TermError(f"{fn} needs an order")
                     c, f = getattr(F, fn)(), Field("number" if fn in ("percent_rank", "cume_dist") else "integer", False)

@@ -25,8 +25,12 @@ class Field:
     label: str | None = None
 
 
-AGGREGATES = {"count", "count_distinct", "sum", "avg", "min", "max"}
-WINDOWS = {"rank", "dense_rank", "row_number", "percent_rank", "cume_dist", "lag", "lead"}
+AGGREGATES = frozenset("avg sum max min count count_distinct".split())
+RANKS = frozenset("cume_dist percent_rank dense_rank rank row_number".split())
+
+
+_ARITHMETIC = frozenset("abs add div exp log10 mul power round sqrt sub".split())
+_COMPARISONS = frozenset("ge gt le lt ne eq".split())
 
 
 class TermError(ValueError):
@@ -57,7 +61,7 @@ def lower(term, fields: dict[str, Field], *, aggregates: bool = False) -> tuple[
         c, f = lower(args[0], fields)
         if op in ("sum", "avg") and (f.kind not in NUMERIC or f.unit == "identifier"):
             raise TermError(f"{op} needs numbers, not {f.unit or f.kind}")
-        made = {"count": F.count, "count_distinct": F.count_distinct, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[op](c)
+        made = getattr(F, op)(c)
         return made, Field("integer" if op.startswith("count") else "number" if op == "avg" else f.kind, not op.startswith("count"), f.unit)
     if op == "case":
         *pairs, default = args
@@ -79,7 +83,7 @@ def lower(term, fields: dict[str, Field], *, aggregates: bool = False) -> tuple[
         return c.isin(*args[1]), Field("boolean")
     low = [lower(a, fields, aggregates=aggregates) if isinstance(a, (list, tuple)) else (F.lit(a), Field(kind_of(a), False)) for a in args]
     cols, kinds = [c for c, _ in low], [f.kind for _, f in low]
-    if op in ("add", "sub", "mul", "div", "power", "sqrt", "exp", "log10", "abs", "round"):
+    if op in _ARITHMETIC:
         for _, f in low:
             if f.kind not in NUMERIC or f.unit == "identifier":
                 raise TermError(f"{op} needs numbers, not {f.unit or f.kind}")
@@ -91,7 +95,7 @@ def lower(term, fields: dict[str, Field], *, aggregates: bool = False) -> tuple[
         if op == "round":
             return F.round(cols[0], args[1] if len(args) > 1 else 0), Field(kinds[0])
         return made[op](*cols), Field(whole if op in ("add", "sub", "mul", "abs") else "number", True, low[0][1].unit if op in ("add", "sub", "abs") else None)
-    if op in ("eq", "ne", "lt", "le", "gt", "ge"):
+    if op in _COMPARISONS:
         a, b = cols
         return {"eq": a == b, "ne": a != b, "lt": a < b, "le": a <= b, "gt": a > b, "ge": a >= b}[op], Field("boolean")
     if op in ("and", "or", "not"):

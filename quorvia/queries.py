@@ -60,7 +60,7 @@ V = lambda p: f"CASE WHEN {p} >= 0.8 THEN true WHEN {p} <= 0.2 THEN false END"
 S_ = lambda p: f"CASE WHEN {p} >= 0.8 OR {p} <= 0.2 THEN 'VALUE' ELSE 'UNKNOWN' END"
 
 
-# -- typed decisions -------------------------------------------------------------------------------
+# -- typed decisions
 
 
 @query(f"SELECT o_orderkey, {S_(P_SQL)} AS output_state, {V(P_SQL)} AS v, {P_SQL} AS p FROM orders")
@@ -130,7 +130,7 @@ def row_guard(spark, d):
     return out.select("o_orderkey", col("x.value_bool").alias("v"), "x.operation_state")
 
 
-# -- runtime ---------------------------------------------------------------------------------------
+# -- runtime
 
 
 def _ab(spark, d):
@@ -213,7 +213,7 @@ def subjects(spark, d):
     return typed.as_subjects(Tables(spark, d).customer, ["c_custkey"]).select(F.regexp_extract("state.c_name", r"(\d+)", 1).cast("bigint").alias("c_custkey"), "state.c_nationkey")
 
 
-# -- organise --------------------------------------------------------------------------------------
+# -- organise
 
 TYPE = ColumnEvaluator({"classify": lambda q: one_hot(col("p_type"), ("ECONOMY", "PROMO", "STANDARD", "unknown"), 0.85)})
 
@@ -263,7 +263,7 @@ def classify_hierarchy(spark, d):
     return out.where("finished").select("p_partkey", F.array_join("path", "/").alias("path"), F.round("weight", 6).alias("weight"))
 
 
-# -- compare ---------------------------------------------------------------------------------------
+# -- compare
 
 
 @query("SELECT a.n_nationkey AS l, b.n_nationkey AS r, CASE WHEN a.n_regionkey < b.n_regionkey THEN 'left' WHEN a.n_regionkey > b.n_regionkey THEN 'right' ELSE 'tie' END AS v FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 1")
@@ -296,7 +296,7 @@ def composite_score(spark, d):
     return out.select("p_partkey", "composite")
 
 
-# -- calculate -------------------------------------------------------------------------------------
+# -- calculate
 
 
 def _aggregate(kind: str, column: str | None):
@@ -333,7 +333,7 @@ def contrast(spark, d):
     return out.select("concept", "left_denominator", "left_positive", "left_unresolved", "right_denominator", "right_positive", F.round("left_low", 6).alias("left_low"), F.round("left_high", 6).alias("left_high"))
 
 
-# -- connect ---------------------------------------------------------------------------------------
+# -- connect
 
 NEAR = ColumnEvaluator({"same region": lambda q: F.when(col("l_n_regionkey") == col("r_r_regionkey"), 0.95).when(F.abs(col("l_n_regionkey") - col("r_r_regionkey")) == 1, 0.5).otherwise(0.05)})
 NEAR_V = "CASE WHEN n_regionkey = r_regionkey THEN true WHEN abs(n_regionkey - r_regionkey) = 1 THEN NULL ELSE false END"
@@ -426,7 +426,7 @@ def cover(spark, d):
     return out.select("n_nationkey", col("stance").alias("s"), F.array_join(col("supporting").cast("array<string>"), ",").alias("ids"))
 
 
-# -- control ---------------------------------------------------------------------------------------
+# -- control
 
 EVENT = ColumnEvaluator({"event": lambda q: one_hot(col("event_type"), ("signup", "purchase", "error", "unknown"))})
 _TRACE = {("new", "signup"): "member", ("member", "purchase"): "buyer", ("buyer", "error"): "member", ("new", "error"): "new", ("new", "purchase"): "new"}
@@ -483,9 +483,9 @@ def structure(spark, d):
     return extract.structure(rows, "topic changes", ("talk",), e, doc_col="conv_id", order_col="turn", text_col="text").select("conv_id", "n_lines")
 
 
-# -- extract ---------------------------------------------------------------------------------------
+# -- extract
 
-SENTENCES = r"list_filter(list_transform(regexp_extract_all(text, '[^\n.!?。！？]+(?:[.!?。！？]|$)'), lambda s: trim(s)), lambda s: s <> '')"
+SENTENCES = r"list_filter(list_transform(regexp_extract_all(text, '[^.。!！?？\n]+(?:$|[.。!！?？])'), lambda s: trim(s)), lambda s: s <> '')"
 
 
 @query(f"SELECT item_id, len({SENTENCES})::INT AS n, array_to_string({SENTENCES}, '~') AS s FROM benchmark")
@@ -534,7 +534,7 @@ def convert_number(spark, d):
     return Tables(spark, d).customer.select("c_custkey", S.number_column(money).cast("double").alias("v"))
 
 
-# -- stages ----------------------------------------------------------------------------------------
+# -- stages
 
 
 def _dag(spark, d):
@@ -640,7 +640,7 @@ def stage_terms(spark, d):
     return out.frame
 
 
-# -- programs --------------------------------------------------------------------------------------
+# -- programs
 
 LINKS = (P.Link("lineitem", "orders", (("l_orderkey", "o_orderkey"),)), P.Link("orders", "customer", (("o_custkey", "c_custkey"),)), P.Link("customer", "nation", (("c_nationkey", "n_nationkey"),)), P.Link("nation", "region", (("n_regionkey", "r_regionkey"),)))
 
@@ -743,7 +743,7 @@ def message_not_exists(spark, d):
     return P.message_plan(Tables(spark, d).events, p, grain="customer", customer="user_id", mode="not_exists")
 
 
-# -- sources ---------------------------------------------------------------------------------------
+# -- sources
 
 
 @query("SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'O') AND (o_custkey > 100 OR o_custkey = 100 AND o_orderkey > 500) ORDER BY o_custkey, o_orderkey LIMIT 100")
@@ -784,7 +784,7 @@ def csv_cells(spark, d):
     return csvfile.typed(text, kinds).select(col("k").cast("bigint").alias("c_custkey"), col("b").cast("double").alias("b"))
 
 
-# -- answer matrices -------------------------------------------------------------------------------
+# -- answer matrices
 
 BASIS = M.Basis((("a", proposition("the order is expensive")), ("c", choice_of("priority", ("1-URGENT", "2-HIGH", "3-MEDIUM", "other")))), "column/1")
 BOTH = ColumnEvaluator(EXPENSIVE.rules | PRIORITY.rules)
@@ -829,7 +829,7 @@ def vector_knn(spark, d):
     return M.vector_distances(e.where("vec_id = 0"), e, id_col="vec_id", vector="embedding", top_k=20).select("vec_id", F.round("distance", 8).alias("distance"))
 
 
-# -- managed meaning -------------------------------------------------------------------------------
+# -- managed meaning
 
 
 @query("SELECT event_id, CASE WHEN user_id % 3 = 0 THEN false ELSE value > 50 END AS effective FROM events")
@@ -883,7 +883,7 @@ def materialize(spark, d):
 
 SQL["materialize"] = f"SELECT count(*) AS rows, sum(({S_(P_SQL)} = 'UNKNOWN')::INT)::BIGINT AS unresolved, 'PARTIAL' AS status FROM orders"
 
-# -- SQL surface -----------------------------------------------------------------------------------
+# -- SQL surface
 
 SEMANTICS = Semantics({"expensive": "least(1.0, greatest(0.0, {col} / 500000.0))"}, {"priced": ("score", "least(1.0, greatest(0.0, {col} / 500000.0)) * 4"), "band": ("choice", "CASE WHEN {col} > 250000 THEN 'high' ELSE 'low' END")})
 _ALL = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TYPES = {"text": "string", "integer": "bigint", "number": "decimal(38,10)", "boolean": "boolean", "date": "date", "datetime": "timestamp", "json": "string"}
-_ISO_DATE = re.compile(r"\d{4}-\d{2}-\d{2}$")
-_ISO_TIME = re.compile(r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$")
+_ISO_DATE = re.compile(r"[0-9]{4}(?:-[0-9]{2}){2}$")
+_ISO_TIME = re.compile(r"[0-9]{4}(?:-[0-9]{2}){2}[T ][0-9]{2}(?::[0-9]{2}){1,2}(\.[0-9]+)?(Z|[+-][0-9]{2}:?[0-9]{2})$")
 
 
 def infer(values: list) -> str:
@@ -64,7 +64,7 @@ def coerce(value, kind: str):
     if kind == "date" and isinstance(value, str):
         return dt.date.fromisoformat(value)
     if kind == "datetime" and isinstance(value, str):
-        at = dt.datetime.fromisoformat(value.replace("Z", "+00:00"))
+        at = dt.datetime.fromisoformat(value)
         if at.tzinfo is None:
             raise ValueError("a datetime carries its zone")
         return at
@@ -74,7 +74,7 @@ def coerce(value, kind: str):
 
 
 def check_names(names: list[str]) -> None:
-    if not 1 <= len(names) <= 64 or len(set(names)) != len(names) or any(not n or len(n.encode()) > 63 or n.startswith("_q") for n in names):
+    if len(names) not in range(1, 65) or len(names) > len(set(names)) or any(not n or len(n.encode()) > 63 or n.startswith("_q") for n in names):
         raise ValueError("1 to 64 different column names of at most 63 bytes, none reserved")
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _TESTS = {
-    "integer": r"^[+-]?\d{1,18}$", "number": r"^[+-]?(\d{1,28}(\.\d{1,10})?|\.\d{1,10})$", "boolean": r"^(?i:true|false)$", "date": r"^\d{4}-\d{2}-\d{2}$",
-    "datetime": r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$",
+    "integer": r"^[+-]?\d{1,18}$", "number": r"^[+-]?(\d{1,28}(\.\d{1,10})?|\.\d{1,10})$", "boolean": r"^(?i:true|false)$", "date": r"^[0-9]{4}(?:-[0-9]{2}){2}$",
+    "datetime": r"^[0-9]{4}(?:-[0-9]{2}){2}[T ][0-9]{2}(?::[0-9]{2}){1,2}(\.[0-9]+)?(Z|[+-][0-9]{2}:?[0-9]{2})$",
 }
 _DDL = {"integer": "bigint", "number": "decimal(38,10)", "boolean": "boolean", "date": "date", "datetime": "timestamp", "text": "string"}
 

@@ -55,7 +55,7 @@ def test_kleene_logic(spark):
 
 def test_bad_answers_fail_and_are_never_negative(spark):
     q = choice_of("pick", ("a", "b", "unknown"))
-    df = spark.createDataFrame([({"a": 0.9, "b": 0.1, "unknown": 0.0},), ({"a": 0.5, "b": 0.5, "unknown": 0.0},), ({"a": 0.1, "b": 0.1, "unknown": 0.8},), ({"a": 0.9, "b": 0.9, "unknown": 0.0},), ({"a": 1.0},), ({"a": 0.5, "b": 0.4, "c": 0.1},)], "p map<string,double>")
+    df = spark.createDataFrame([(dict(zip(k.split(), p)),) for k, p in (("a b unknown", (0.9, 0.1, 0.0)), ("a b unknown", (0.5, 0.5, 0.0)), ("a b unknown", (0.1, 0.1, 0.8)), ("a b unknown", (0.9, 0.9, 0.0)), ("a", (1.0,)), ("a b c", (0.5, 0.4, 0.1)))], "p map<string,double>")
     got = [(r.d.output_state, r.d.operation_state, r.d.value_text) for r in df.select(resolve(q, raw_answer(probabilities=F.col("p"))).alias("d")).collect()]
     assert got == [("VALUE", "SUCCEEDED", "a"), ("UNKNOWN", "SUCCEEDED", None), ("UNKNOWN", "SUCCEEDED", None)] + [("NOT_EVALUATED", "FAILED", None)] * 3
     s = spark.range(1).select(resolve(score_on("s", 3), raw_answer(score=F.lit(2.5))).alias("d")).first().d
@@ -256,7 +256,7 @@ def test_inference_and_coercion(spark):
     for bad, kind in ((True, "integer"), (1.5, "integer"), (float("nan"), "number"), ("2026-09-21T14:00:00", "datetime"), (1, "text")):
         with pytest.raises((TypeError, ValueError)):
             C.coerce(bad, kind)
-    df = C.create(spark, "实验结果", [{"样本": "甲", "温度": 20}, {"样本": "乙", "温度": 30}])
+    df = C.create(spark, "实验结果", [dict(样本=s, 温度=t) for s, t in (("甲", 20), ("乙", 30))])
     assert df.dtypes == [("样本", "string"), ("温度", "bigint")]
 
 
