@@ -37,7 +37,7 @@ def none(spark):
 LABELS = "doc_id bigint, quality int, toxic int"
 
 
-# -- 7: BPE ----------------------------------------------------------------------------------------
+# -- 7: BPE
 
 
 def test_bpe_is_exact(spark):
@@ -64,7 +64,7 @@ def test_bpe_frames(spark, odd, none):
     assert bpe.encoding_digests(none).count() == 0
 
 
-# -- 4: decontamination ----------------------------------------------------------------------------
+# -- 4: decontamination
 
 
 def brute_contamination(text, items, window=8):
@@ -102,7 +102,7 @@ def test_decontamination_against_brute_force(spark, odd, none):
     assert decontaminate.drop_contaminated(odd, bench).schema == odd.schema
 
 
-# -- 6: substrings ---------------------------------------------------------------------------------
+# -- 6: substrings
 
 
 def brute_removals(rows, window):
@@ -140,7 +140,7 @@ def test_packed_hashes_round_trip():
         assert (substrings.unpack(substrings.pack(h)) == h).all()
 
 
-# -- 8: near-duplicates ----------------------------------------------------------------------------
+# -- 8: near-duplicates
 
 
 def jaccard_classes(rows):
@@ -205,7 +205,7 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(21)) and all(got[i] == 21 for i in range(21, 41)) and got[100] == 50
 
 
-# -- 5, 10: classifiers ----------------------------------------------------------------------------
+# -- 5, 10: classifiers
 
 
 def corpus(n=400, seed=2):
@@ -272,7 +272,7 @@ def test_ftrl_keeps_neutral_weights_at_nought():
     assert w[0] < 0 < w[1] and w[3] == 0
 
 
-# -- 9: secrets ------------------------------------------------------------------------------------
+# -- 9: secrets
 
 
 def test_secrets(spark, odd, none):
@@ -291,7 +291,7 @@ def test_secrets(spark, odd, none):
     assert right >= 0.96 * len(fresh)
 
 
-# -- 2: main text ----------------------------------------------------------------------------------
+# -- 2: main text
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; x</title><style>p{}</style><script>var a="</p>";</script></head><body>
 <header><a href="/">Home</a></header><nav><ul><li><a href="/a">One</a></li><li><a href="/b">Two</a></li></ul></nav><div class="cookie-notice">We use cookies to make this site work better for you.</div>
@@ -323,7 +323,7 @@ def test_minimum_cut_against_brute_force():
         assert abs(cost(htmlmain.minimum_cut(list(map(float, s)), list(map(float, t)), edges)) - best) < 1e-6
 
 
-# -- 3: nearest neighbours -------------------------------------------------------------------------
+# -- 3: nearest neighbours
 
 
 def test_nearest_recall_and_edges(spark):
@@ -350,7 +350,7 @@ def test_nearest_recall_and_edges(spark):
     assert ann.nearest(spark.createDataFrame([], schema)).count() == 0
 
 
-# -- 1: packing ------------------------------------------------------------------------------------
+# -- 1: packing
 
 
 def test_packing_is_lossless(spark, odd, none):
@@ -399,7 +399,7 @@ def test_best_fit_by_the_tree():
         assert len(bins) == len(plain)
 
 
-# -- pipeline and registry -------------------------------------------------------------------------
+# -- pipeline and registry
 
 
 def test_registry_names():
