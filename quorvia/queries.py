@@ -8,8 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorvia import operators as ops
-from quorvia.decision import Limits, Policy, all_of, any_of, choice_of, coverage_columns, decide, negated, proposition, raw_answer, require_bool, resolve, run_state_columns, score_on, stance
+from quorvia.decision import Limits, Policy, all_of, any_of, choice_of, coverage_columns, decide, negated, proposition, require_bool, resolve, run_state_columns, stance
 from quorvia.evaluators import ColumnEvaluator, PythonEvaluator, TableEvaluator, one_hot, option_map
 from quorvia.functions import matrices as M
 from quorvia.functions import spans as S
@@ -962,5 +961,3 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
-
-_ = (ops, raw_answer, score_on)

@@ -21,8 +21,6 @@ def judge_batches(stream: DataFrame, question: Question, evaluator, *, context:
     """Micro-batches that reuse saved answers: contexts without one are answered and appended to the
     observation table, then the batch is decided from it. A batch that is run again finds its answers
     and overwrites its own output, so results are written once."""
-    spark = stream.sparkSession
-
     def one(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
         mine = None
@@ -38,7 +36,6 @@ def judge_batches(stream: DataFrame, question: Question, evaluator, *, context:
         saved = session.read.parquet(observations)
         judge(batch, {"decision": question}, evaluator, policy=policy, context=context, observations=saved).write.mode("overwrite").parquet(f"{output}/batch={number}")
 
-    _ = spark
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
 
 
