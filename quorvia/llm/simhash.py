@@ -174,7 +174,7 @@ def _pairs(forest: DataFrame, near: int, reach: int, star: bool) -> DataFrame:
         else:  # dense regions: the first node as well
             first = np.searchsorted(region, region)
             far = np.flatnonzero(np.arange(n) - first > reach)
-            test(first[far], far[far >= fresh] if len(far[far >= fresh]) == len(far) else far)
+            test(first[far], far)
         if not hi:
             return
         i, apart, j = np.concatenate([p[0] for p in lo]), np.concatenate([p[1] for p in lo]), np.concatenate(hi)
