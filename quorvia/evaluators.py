@@ -7,6 +7,8 @@ recorded answers; ``PythonEvaluator`` calls a function (a model) over Arrow batc
 from __future__ import annotations
 
 import json
+import time
+from collections import deque
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -50,14 +52,23 @@ class PythonEvaluator:
     """``fn(question as dict, contexts: list of dict) -> list of dict`` with p, probabilities, score
     and confidence; an exception fails the batch's answers, never the job."""
 
-    def __init__(self, fn: Callable[[dict, list[dict]], list[dict]], identity: str = "python/1", batch: int = 32, attempts: int = 2):
-        self.fn, self.identity, self.batch, self.attempts = fn, identity, batch, attempts
+    def __init__(self, fn: Callable[[dict, list[dict]], list[dict]], identity: str = "python/1", batch: int = 32, attempts: int = 2, per_minute: int | None = None):
+        """``per_minute``: requests that one task sends in any minute; divide an account's allowance by
+        the number of tasks that run at once."""
+        self.fn, self.identity, self.batch, self.attempts, self.per_minute = fn, identity, batch, attempts, per_minute
 
     def answer(self, question: dict, contexts: list[str]) -> list[dict]:
         out: list[dict] = []
+        sent: deque[float] = deque()
         for at in range(0, len(contexts), self.batch):
             part = [json.loads(c) for c in contexts[at : at + self.batch]]
-            for left in range(self.attempts, 0, -1):
+            for _ in range(self.attempts):
+                if self.per_minute:
+                    while sent and sent[0] <= time.monotonic() - 60:
+                        sent.popleft()
+                    if len(sent) >= self.per_minute:
+                        time.sleep(max(0.0, sent.popleft() + 60 - time.monotonic()))
+                    sent.append(time.monotonic())
                 try:
                     got = self.fn(question, part)
                     if len(got) != len(part):

@@ -12,7 +12,8 @@ from quorvia.decision import Limits, Policy, all_of, any_of, choice_of, coverage
 from quorvia.evaluators import ColumnEvaluator, PythonEvaluator, TableEvaluator, one_hot, option_map
 from quorvia.functions import matrices as M
 from quorvia.functions import spans as S
-from quorvia.functions.sql import Semantics, run_sql
+from quorvia.functions import scans as SC
+from quorvia.functions.sql import Semantics, preview_change, run_sql
 from quorvia.judge import bundled, context_key, judge, latest_observations
 from quorvia.operators import calculate, check, compare, connect, control, extract, manage, organise, typed
 from quorvia.plans import programs as P
@@ -882,6 +883,34 @@ def materialize(spark, d):
 
 SQL["materialize"] = f"SELECT count(*) AS rows, sum(({S_(P_SQL)} = 'UNKNOWN')::INT)::BIGINT AS unresolved, 'PARTIAL' AS status FROM orders"
 
+# -- scans and changes
+
+
+@query(f"SELECT o_orderkey, {V(P_SQL)} AS v FROM orders WHERE o_orderstatus = 'P'")
+def scan(spark, d):
+    out = SC.scan(spark, "SELECT * FROM orders WHERE o_orderstatus = 'P'", {"x": proposition("the order is expensive")}, EXPENSIVE, tables={"orders": Tables(spark, d).orders})
+    return out.select("o_orderkey", col("x.value_bool").alias("v"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size / 50.0 >= 0.8 THEN true WHEN p_size / 50.0 <= 0.2 THEN false END AS v FROM part WHERE p_type = 'PROMO'")
+def scan_mapped(spark, d):
+    out = SC.scan_mapped(spark, "SELECT * FROM part WHERE p_type = 'PROMO'", {"x": proposition("the part is large")}, PythonEvaluator(_quality), context=["p_size"], tables={"part": Tables(spark, d).part})
+    return out.select("p_partkey", col("x.value_bool").alias("v"))
+
+
+@query(f"SELECT source_id, count(*) AS eligible, count(*) FILTER (v IS NOT NULL) AS known FROM (SELECT 'f' AS source_id, {V(P_SQL)} AS v FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'o', {V(P_SQL)} FROM orders WHERE o_orderstatus = 'O') GROUP BY 1")
+def scan_many(spark, d):
+    sources = {k.lower(): f"SELECT * FROM orders WHERE o_orderstatus = '{k}'" for k in ("F", "O")}
+    out = SC.scan_many(spark, sources, {"x": proposition("the order is expensive")}, EXPENSIVE, columns=["o_orderkey", "o_totalprice"], tables={"orders": Tables(spark, d).orders})
+    return SC.receipt(out, "x", ["source_id"]).select("source_id", "eligible", col("values").alias("known"))
+
+
+@query("SELECT s_suppkey, s_acctbal AS was, s_acctbal * 2 AS will FROM supplier WHERE s_acctbal < 1000")
+def preview_update(spark, d):
+    out = preview_change(Tables(spark, d).supplier, ["s_suppkey"], col("s_acctbal") < 1000, {"s_acctbal": col("s_acctbal") * 2})
+    return out.select("s_suppkey", col("before.s_acctbal").alias("was"), col("after.s_acctbal").alias("will"))
+
+
 # -- SQL surface
 
 SEMANTICS = Semantics({"expensive": "least(1.0, greatest(0.0, {col} / 500000.0))"}, {"priced": ("score", "least(1.0, greatest(0.0, {col} / 500000.0)) * 4"), "band": ("choice", "CASE WHEN {col} > 250000 THEN 'high' ELSE 'low' END")})

@@ -358,3 +358,49 @@ def test_trace_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.e: (r.state, r.n_events) for r in spark.sql("select * from traced").collect()} == {1: ("idle", 2), 2: ("run", 1)}
+
+
+def test_jobs(spark):
+    import time
+
+    from quorvia.jobs import Approvals, Jobs
+
+    jobs = Jobs(spark)
+    one = jobs.submit("a", lambda s: s.range(10).count())
+    assert jobs.submit("a", lambda s: 1) == one and jobs.result("a", 60) == 10
+    jobs.submit("b", lambda s: s.range(1 << 40).selectExpr("sum(hash(id))").collect())
+    time.sleep(2)
+    jobs.cancel("b")
+    with pytest.raises(RuntimeError, match="CANCELLED"):
+        jobs.result("b", 60)
+    a, plan = Approvals(), Approvals.plan_hash("JOIN", {"x": 1})
+    assert not a.valid(plan)
+    a.grant(plan)
+    assert a.valid(plan) and not a.valid(Approvals.plan_hash("JOIN", {"x": 2}))
+    a.grant(plan, -1)
+    assert not a.valid(plan)
+
+
+def test_assignment_and_beams():
+    import itertools
+    import random
+
+    from quorvia.plans.search import assignment, best_sequences
+
+    r = random.Random(0)
+    for _ in range(30):
+        m, n = sorted((r.randint(1, 5), r.randint(1, 6)))
+        s = [[r.random() for _ in range(n)] for _ in range(m)]
+        best = max(sum(s[i][c] for i, c in enumerate(p)) for p in itertools.permutations(range(n), m))
+        got = assignment(s)
+        assert len(set(got)) == m and abs(sum(s[i][c] for i, c in enumerate(got)) - best) < 1e-9
+    assert best_sequences([[("a", 1.0), ("b", 0.9)], [("a", 1.0), ("b", 0.5)]], 2) == [(1.9, ("b", "a")), (1.5, ("a", "b"))]
+
+
+def test_rate_gate(monkeypatch):
+    import time
+
+    slept = []
+    monkeypatch.setattr(time, "sleep", slept.append)
+    e = PythonEvaluator(_counting(), batch=1, per_minute=2)
+    assert len(e.answer({}, ['{"t": "yes"}'] * 3)) == 3 and len(slept) == 1 and 50 < slept[0] <= 60
