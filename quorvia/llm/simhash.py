@@ -7,11 +7,15 @@
    shorter ones until the prefix is ``depth`` bits long. ``depth`` follows the number of nodes, and
    the number of trees is what a pair at the threshold needs to meet with probability ``recall``.
    Where a region is so dense that more than ``reach`` nodes follow within that prefix, the climb
-   ends at a longer one; every node there is also compared with the region's first node.
+   ends at a longer one; every node there is also compared with the region's first node, and the
+   region's nodes are crowded.
 3. Pairs whose SimHashes are close enough are verified on the shingle sets themselves. First each
    node is tried with its nearest smaller neighbour only, and what is verified is contracted to
    components; then all candidate pairs between different components are. Big groups thus cost a
    link a node, not one a pair, and no candidate pair that could join two classes is left out.
+4. The climb doesn't meet all pairs of a dense region, so crowded nodes are also joined on their rarest
+   shingles: in one order of all shingles, two sets at the threshold share one of the first
+   ``size - ceil(similarity * size) + 1`` of each. What a hot group has in common stands last there.
 
 A hub's links are verified in salted streams against one set at a time, so a group may be of any size.
 
@@ -42,6 +46,7 @@ RECALL = 0.99
 LEAF = 256  # nodes that share a shortest prefix, on the average
 REACH = 4096
 HUB = 256  # links verified in one stream
+COUNTERS = 1 << 18  # of shingles, to tell rare ones
 _seeds = mix64(np.arange(1, LANES + 1, dtype=np.uint64) << np.uint64(32))
 #: Each byte value with its bits spread over the eight bytes of a word, to be summed side by side.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view("<u8").ravel()
@@ -146,7 +151,8 @@ def _forest(nodes: DataFrame, depth: int, trees: int) -> DataFrame:
 
 def _pairs(forest: DataFrame, near: int, reach: int, star: bool) -> DataFrame:
     """Candidate pairs (u < v) of different labels, at most ``near`` bits apart. ``star``: of each
-    node the nearest smaller one only, and the node itself (u null) if it has any candidate."""
+    node the nearest smaller one only, and the node itself (u null) if it has any candidate or is in
+    a region of more than ``reach`` nodes (crowded)."""
 
     def compare(x: dict, fresh: int):
         """Rows before ``fresh`` were compared among each other already."""
@@ -175,6 +181,10 @@ def _pairs(forest: DataFrame, near: int, reach: int, star: bool) -> DataFrame:
             first = np.searchsorted(region, region)
             far = np.flatnonzero(np.arange(n) - first > reach)
             test(first[far], far)
+        if star:  # of a dense region never fewer than reach + 1 rows are here
+            dense = np.unique(x["node"][np.bincount(region)[region] > reach])
+            if len(dense):
+                yield pa.RecordBatch.from_arrays([pa.array(dense), pa.nulls(len(dense), pa.int64()), pa.array(np.full(len(dense), BITS, np.int32)), pa.array(np.ones(len(dense), bool))], ["v", "u", "apart", "crowded"])
         if not hi:
             return
         i, apart, j = np.concatenate([p[0] for p in lo]), np.concatenate([p[1] for p in lo]), np.concatenate(hi)
@@ -186,7 +196,7 @@ def _pairs(forest: DataFrame, near: int, reach: int, star: bool) -> DataFrame:
             best = np.concatenate([[True], v[1:] != v[:-1]])
             u, v, apart = u[best], v[best], apart[best]
             alone = np.setdiff1d(np.unique(np.concatenate([a, b])), v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([v, alone])), pa.array(np.concatenate([u, alone]), mask=np.concatenate([np.zeros(len(u), bool), np.ones(len(alone), bool)])), pa.array(np.concatenate([apart, np.full(len(alone), BITS)]).astype(np.int32))], ["v", "u", "apart"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([v, alone])), pa.array(np.concatenate([u, alone]), mask=np.concatenate([np.zeros(len(u), bool), np.ones(len(alone), bool)])), pa.array(np.concatenate([apart, np.full(len(alone), BITS)]).astype(np.int32)), pa.array(np.zeros(len(v) + len(alone), bool))], ["v", "u", "apart", "crowded"])
         else:
             got = np.unique(np.stack([v, u, apart], 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(got[:, 0].copy()), pa.array(got[:, 1].copy()), pa.array(got[:, 2].astype(np.int32))], ["v", "u", "apart"])
@@ -214,7 +224,7 @@ def _pairs(forest: DataFrame, near: int, reach: int, star: bool) -> DataFrame:
         if have and len(have["node"]) > fresh:
             yield from compare(have, fresh)
 
-    return forest.mapInArrow(run, "v bigint, u bigint, apart int")
+    return forest.mapInArrow(run, "v bigint, u bigint, apart int" + (", crowded boolean" if star else ""))
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -239,6 +249,91 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return map_arrow(docs.join(wanted, F.col("doc_id") == F.col("node")).select("node", "text"), run, "node bigint, items binary")
 
 
+def _rare_pairs(rows: DataFrame, near: int, similarity: float) -> DataFrame:
+    """Pairs (u < v) of different labels that may be at that similarity: all that share one of their
+    rarest shingles, of fitting sizes and at most ``near`` bits apart. ``rows``: node, label, items, s0..s3."""
+
+    def count(batches):
+        quiet_gc()
+        seen = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for items in batch.column("items").to_pylist():
+                np.add.at(seen, _counter(np.unique(_unpacked(items))), 1)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["at", "n"])
+
+    often = np.zeros(COUNTERS, np.int64)
+    for at, n in rows.select("items").mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n")).toLocalIterator():
+        often[at] = n
+
+    def rare(batch: pa.RecordBatch):
+        quiet_gc()
+        first, token, size = [], [], []
+        for items in batch.column("items").to_pylist():
+            s = np.unique(_unpacked(items))
+            n = often[_counter(s)]
+            lead = np.lexsort((s, n))[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]
+            lead = lead[n[lead] > 1]  # no other set has it
+            token.append(s[lead])
+            first.append(len(lead))
+            size.append(len(s))
+        of = np.repeat(np.arange(batch.num_rows), first)
+        whole = [pa.array(np.concatenate(token).view(np.int64)), batch.column("node").take(pa.array(of)), batch.column("label").take(pa.array(of)), pa.array(np.array(size, np.int64)[of])]
+        yield pa.RecordBatch.from_arrays([*whole, *(batch.column(s).take(pa.array(of)) for s in LANE_NAMES)], ["token", "node", "label", "size", *LANE_NAMES])
+
+    def compare(x: dict):
+        """All pairs of whole groups of a token, each group sorted by label."""
+        edges = np.concatenate([[0], np.flatnonzero(x["token"][1:] != x["token"][:-1]) + 1, [len(x["token"])]])
+        several = np.flatnonzero(x["label"][edges[:-1]] != x["label"][edges[1:] - 1])
+        sig = np.stack([x[s].view(np.uint64) for s in LANE_NAMES], 1)
+        us, vs, held = [], [], 0
+        for begin, end in zip(edges[several].tolist(), edges[several + 1].tolist()):
+            after = begin + np.searchsorted(x["label"][begin:end], x["label"][begin:end], side="right")
+            for i, j in zip(range(begin, end), after.tolist()):
+                if j == end:
+                    break
+                small, large = np.minimum(x["size"][i], x["size"][j:end]), np.maximum(x["size"][i], x["size"][j:end])
+                fits = j + np.flatnonzero(small >= similarity * large - 1e-9)
+                fits = fits[np.bitwise_count(sig[i] ^ sig[fits]).sum(axis=1, dtype=np.int32) <= near]
+                us.append(np.minimum(x["node"][i], x["node"][fits]))
+                vs.append(np.maximum(x["node"][i], x["node"][fits]))
+                held += len(fits)
+                if held > 100_000:
+                    yield np.concatenate(us), np.concatenate(vs)
+                    us, vs, held = [], [], 0
+        if held:
+            yield np.concatenate(us), np.concatenate(vs)
+
+    def run(batches):
+        quiet_gc()
+        parts: list[dict] = []  # rows of one token, the last one's, may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = {c: batch.column(c).to_numpy() for c in batch.schema.names}
+            parts.append(new)
+            if new["token"][-1] == parts[0]["token"][-1]:
+                continue
+            have = {c: np.concatenate([p[c] for p in parts]) for c in new}
+            cut = int(np.argmax(have["token"] == have["token"][-1]))
+            yield from map(_pair_batch, compare({c: a[:cut] for c, a in have.items()}))
+            parts = [{c: a[cut:] for c, a in have.items()}]
+        if parts:
+            yield from map(_pair_batch, compare({c: np.concatenate([p[c] for p in parts]) for c in parts[0]}))
+
+    made = map_arrow(rows.select("node", "label", "items", *LANE_NAMES), rare, f"token bigint, node bigint, label bigint, size bigint, {LANES_DDL}")
+    count_parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return made.repartition(count_parts, "token").sortWithinPartitions("token", "label", "node").mapInArrow(run, "u bigint, v bigint").distinct()
+
+
+def _counter(tokens: np.ndarray) -> np.ndarray:
+    return (mix64(tokens) % np.uint64(COUNTERS)).astype(np.int64)
+
+
+def _pair_batch(pair: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["u", "v"])
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v) of at least that Jaccard similarity; a hub u meets its partners in streams."""
     degree = pairs.groupBy("u").agg(F.ceil(F.count("*") / HUB).alias("streams"))
@@ -278,14 +373,18 @@ def classes(docs: DataFrame, *, similarity: float = SIMILARITY, shingle: int = S
     near = math.floor(BITS * (1 - p) + 4 * math.sqrt(BITS * p * (1 - p)))
     unlabelled = nodes.withColumn("label", F.col("node"))
     star = _pairs(_forest(unlabelled, depth, trees), near, reach, star=True)
-    best = checkpointed(star.groupBy("v").agg(F.min(F.struct("apart", "u")).alias("x")).select(F.col("v").alias("node"), F.col("x.u").alias("u")))
+    best = checkpointed(star.groupBy("v").agg(F.min(F.struct("apart", "u")).alias("x"), F.max("crowded").alias("crowded")).select(F.col("v").alias("node"), F.col("x.u").alias("u"), "crowded"))
     texts = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     sets = checkpointed(_sets(texts, best.select("node"), shingle).groupBy("node").agg(F.min("items").alias("items")))
     links = checkpointed(_verified(best.where("u is not null").select("u", F.col("node").alias("v")), sets, similarity))
     label = components(links)
-    inner = nodes.join(best.select("node"), "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    inner = checkpointed(inner.select("node", "label", *LANE_NAMES))
-    cross = _pairs(_forest(inner, depth, trees), near, reach, star=False).select("u", "v").distinct()
+    inner = nodes.join(best.select("node", "crowded"), "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    inner = checkpointed(inner.select("node", "label", "crowded", *LANE_NAMES))
+    cross = _pairs(_forest(inner, depth, trees), near, reach, star=False).select("u", "v")
+    crowded = inner.where("crowded")
+    if crowded.limit(1).count():
+        cross = cross.union(_rare_pairs(crowded.join(sets, "node"), near, similarity))
+    cross = cross.distinct()
     more = checkpointed(_verified(cross, sets, similarity))
     of = inner.select("node", "label")
     a, b = of.toDF("u", "lu"), of.toDF("v", "lv")

@@ -199,6 +199,21 @@ def test_dense_regions_and_hubs(spark, monkeypatch):
     assert {x.class_id for x in got.collect()} == {0}
 
 
+def test_dense_region_of_different_texts(spark):
+    r = random.Random(12)
+    base, rows = [f"w{i}" for i in range(240)], []
+    for i in range(250):  # most of a template each, unlike each other; every tenth has a near copy
+        w = base[:160] + [f"a{i}x{k}" for k in range(60)]
+        rows.append((i, " ".join(w)))
+        if i % 10 == 0:
+            for k in (20, 90, 170, 200):
+                w[k] = f"b{i}x{k}"
+            rows.append((1000 + r.randrange(10**6) * 1000 + i, " ".join(w)))
+    got = {x.doc_id: x.class_id for x in simhash.classes(frame(spark, rows), reach=4).collect()}
+    want = jaccard_classes(rows)
+    assert sum(want[d] != d for d, _ in rows) == 25 and got == want
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40) if i != 20] + [(100, 50), (50, 100)]
     got = {x.node: x.label for x in components(spark.createDataFrame(links, "u bigint, v bigint")).collect()}
