@@ -375,7 +375,17 @@ def join_explicit(spark, d):
 @query("SELECT c_custkey, s_suppkey, CASE WHEN c_acctbal = s_acctbal THEN 'consistent' ELSE 'inconsistent' END AS acctbal, abs(c_acctbal - s_acctbal) < 100 AS same FROM customer, supplier WHERE c_nationkey = s_nationkey AND c_custkey < 200")
 def align(spark, d):
     t = Tables(spark, d)
-    pairs = connect.candidate_pairs(t.customer.where("c_custkey < 200"), t.supplier, {"kind": "exact_keys", "keys": [("c_nationkey", "s_nationkey")]}, left_id="c_custkey", right_id="s_suppkey")
+    return _aligned(t.customer.where("c_custkey < 200"), t.supplier)
+
+
+@query("SELECT c_custkey, s_suppkey, CASE WHEN c_acctbal = s_acctbal THEN 'consistent' ELSE 'inconsistent' END AS acctbal, abs(c_acctbal - s_acctbal) < 100 AS same FROM customer, supplier WHERE c_nationkey = s_nationkey")
+def align_whole(spark, d):
+    t = Tables(spark, d)
+    return _aligned(t.customer, t.supplier)
+
+
+def _aligned(customer, supplier):
+    pairs = connect.candidate_pairs(customer, supplier, {"kind": "exact_keys", "keys": [("c_nationkey", "s_nationkey")]}, left_id="c_custkey", right_id="s_suppkey")
     e = ColumnEvaluator({"same": F.when(F.abs(col("l_c_acctbal") - col("r_s_acctbal")) < 100, 0.9).otherwise(0.1), "consistent:acctbal": one_hot(F.when(col("l_c_acctbal") == col("r_s_acctbal"), "consistent").otherwise("inconsistent"), ("consistent", "inconsistent", "unknown"))})
     out = connect.align(pairs, "same", ["acctbal"], e)
     return out.select(col("l_c_custkey").alias("c_custkey"), col("r_s_suppkey").alias("s_suppkey"), col("fields")[0]["consistency"].alias("acctbal"), col("identity.value_bool").alias("same"))
@@ -416,6 +426,15 @@ def verify(spark, d):
     return out.select("n_nationkey", "n_evidence", col("stance.value_text").alias("s"))
 
 
+@query("SELECT n_nationkey, count(c_custkey) AS n_evidence, CASE WHEN count(c_custkey) <= 64 THEN string_agg(c_name, ',' ORDER BY c_name) END AS evidence, CASE WHEN count(c_custkey) >= 10 THEN 'support' ELSE 'opposition' END AS s FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
+def verify_whole(spark, d):
+    t = Tables(spark, d)
+    many = col("n_evidence") >= 10
+    e = ColumnEvaluator({"supports": F.when(many, 0.9).otherwise(0.1), "opposes": F.when(many, 0.1).otherwise(0.9)})
+    out = check.verify(t.nation, t.customer, "supports", "opposes", e, claim_id="n_nationkey", evidence_claim="c_nationkey", text_col="c_name")
+    return out.select("n_nationkey", "n_evidence", F.array_join("evidence", ",").alias("evidence"), col("stance.value_text").alias("s"))
+
+
 @query("""WITH p AS (SELECT n_nationkey, s_suppkey, s_acctbal FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey),
 g AS (SELECT n_nationkey, coalesce(bool_or(s_acctbal >= 8000), false) AS yes, coalesce(bool_or(s_acctbal > 2000 AND s_acctbal < 8000), false) AS open, string_agg(s_suppkey::VARCHAR, ',' ORDER BY s_suppkey) FILTER (s_acctbal >= 8000) AS ids FROM p GROUP BY 1)
 SELECT n_nationkey, CASE WHEN NOT yes AND open THEN NULL WHEN yes THEN 'support' ELSE 'insufficient' END AS s, coalesce(ids, '') AS ids FROM g""")
@@ -522,7 +541,16 @@ def summary_extractive(spark, d):
 
 @query("SELECT o_orderkey, o_totalprice::DECIMAL(38,10)::DOUBLE AS amount, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE o_orderkey < 500")
 def extract_table(spark, d):
-    rows = Tables(spark, d).orders.where("o_orderkey < 500").select("o_orderkey", F.format_string("order of %s for %s EUR", F.date_format("o_orderdate", "yyyy-MM-dd"), col("o_totalprice").cast("decimal(12,2)").cast("string")).alias("text"))
+    return _order_table(Tables(spark, d).orders.where("o_orderkey < 500"))
+
+
+@query("SELECT o_orderkey, o_totalprice::DECIMAL(38,10)::DOUBLE AS amount, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
+def extract_table_whole(spark, d):
+    return _order_table(Tables(spark, d).orders)
+
+
+def _order_table(orders):
+    rows = orders.select("o_orderkey", F.format_string("order of %s for %s EUR", F.date_format("o_orderdate", "yyyy-MM-dd"), col("o_totalprice").cast("decimal(12,2)").cast("string")).alias("text"))
     e = ColumnEvaluator({"record": lit(0.9), "field:amount": F.when(col("candidate").contains("."), 0.9).otherwise(0.1), "field:day": lit(0.9)})
     out = extract.extract_table(rows, {"amount": {"type": "number"}, "day": {"type": "date", "pattern": r"order of (\S+) for"}}, e, id_col="o_orderkey", text_col="text")
     return out.select("o_orderkey", col("amount").cast("double").alias("amount"), col("day").cast("string").alias("day"))
@@ -818,7 +846,16 @@ def embedding_distance(spark, d):
 
 @query(f"WITH m AS ({_MX}) SELECT x.o_orderkey, round(sqrt(({_H.format('a')} + {_H.format('c')}) / 2), 6) AS distance FROM m x JOIN m q ON q.o_orderkey = x.o_orderkey + 1 WHERE x.o_orderkey < 1000")
 def embedding_distance_any_basis(spark, d):
-    rows = M.embed(Tables(spark, d).orders.where("o_orderkey <= 1000"), BASIS, BOTH).select("o_orderkey", "matrix", "matrix_basis")
+    return _next_distances(Tables(spark, d).orders.where("o_orderkey <= 1000"))
+
+
+@query(f"WITH m AS ({_MX}) SELECT x.o_orderkey, round(sqrt(({_H.format('a')} + {_H.format('c')}) / 2), 6) AS distance FROM m x JOIN m q ON q.o_orderkey = x.o_orderkey + 1")
+def embedding_distance_any_basis_whole(spark, d):
+    return _next_distances(Tables(spark, d).orders)
+
+
+def _next_distances(orders):
+    rows = M.embed(orders, BASIS, BOTH).select("o_orderkey", "matrix", "matrix_basis")
     nxt = rows.select((col("o_orderkey") - 1).alias("o_orderkey"), col("matrix").alias("m2"), col("matrix_basis").alias("b2"))
     return rows.join(nxt, "o_orderkey").select("o_orderkey", F.round(M.embedding_distance(col("matrix"), col("m2"), col("matrix_basis"), col("b2")), 6).alias("distance"))
 

@@ -54,3 +54,13 @@ def test_query(spark, duck, name):
 def test_every_query_has_a_twin_but_a_few():
     assert set(Q.QUERIES) - set(Q.SQL) == {"discover", "select_schema"}
     assert set(Q.SQL) <= set(Q.QUERIES)
+
+
+def test_whole_table_queries_reach_the_last_rows(spark):
+    t = Q.Tables(spark, FOLDER)
+    last = t.orders.agg({"o_orderkey": "max"}).first()[0]
+    keys = {r[0] for r in Q.QUERIES["extract_table_whole"](spark, FOLDER).select("o_orderkey").collect()}
+    assert len(keys) == t.orders.count() and last in keys and last >= 500
+    assert Q.QUERIES["align_whole"](spark, FOLDER).select("c_custkey").distinct().count() == t.customer.where(Q.col("c_nationkey").isin([r[0] for r in t.supplier.select("s_nationkey").collect()])).count()
+    assert Q.QUERIES["verify_whole"](spark, FOLDER).agg({"n_evidence": "sum"}).first()[0] == t.customer.count()
+    assert Q.QUERIES["embedding_distance_any_basis_whole"](spark, FOLDER).agg({"o_orderkey": "max"}).first()[0] == last - 1
