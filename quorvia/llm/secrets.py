@@ -32,13 +32,13 @@ THRESHOLD = 0.5
 TREES, DEPTH, FINDINGS, SEED = 40, 9, 3000, 7
 
 _SHAPES = re.compile(
-    r"(?<![A-Za-z0-9])(?:(?P<aws>(?:AKIA|ASIA)[A-Z0-9]{16})(?![A-Za-z0-9])|(?P<git>gh[pousr]_[A-Za-z0-9]{30,255})|(?P<chat>xox[abeoprs]-[A-Za-z0-9-]{10,250})"
-    r"|(?P<api>sk-[A-Za-z0-9_-]{20,200})|(?P<map>AIza[A-Za-z0-9_-]{35})|(?P<jwt>eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*))"
+    r"(?<![A-Za-z0-9])(?:(?P<aws>(?:AKIA|ASIA)[A-Z0-9]{16})(?![A-Za-z0-9])|(?P<git>gh[pousr]_[A-Za-z0-9]{30,})|(?P<chat>xox[abeoprs]-[A-Za-z0-9-]{10,})"
+    r"|(?P<api>sk-[A-Za-z0-9_-]{20,})|(?P<map>AIza[A-Za-z0-9_-]{35})|(?P<jwt>eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*))"
     r"|(?P<pem>-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z))"
 )
 _HINTS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk-", "AIza", "eyJ", "-----BEGIN ")
-_ASSIGNED = re.compile(r"(?i)(?P<name>token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|credentials?|bearer|key)[\"']?\s{0,3}(?:=>|:=|=|:)\s{0,3}[\"']?(?P<value>[^\s\"'<>,;]{6,400})")
-_MIXED = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,199}\d)[A-Za-z0-9+/_-]{20,200}={0,2}(?![A-Za-z0-9+/_=-])")
+_ASSIGNED = re.compile(r"(?i)(?P<name>token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|credentials?|bearer|key)[\"']?\s{0,3}(?:=>|:=|=|:)\s{0,3}[\"']?(?P<value>[^\s\"'<>,;]{6,})")
+_MIXED = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+\d)[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])")
 _NAMES = re.compile(r"(?i)token|secret|passw|passwd|pwd|key|auth|cred|bearer")
 _PLACEHOLDER = re.compile(r"(?i)example|sample|dummy|changeme|placeholder|your|xxxx|\*\*\*|test|fake|redacted|<|\$\{|1234|abcd")
 _INERT = re.compile(r"(?i)commit|sha|md5|hash|checksum|digest|revision|etag|uuid|guid|version|href|http|version|build|color")

@@ -306,6 +306,20 @@ def test_secrets(spark, odd, none):
     assert right >= 0.96 * len(fresh)
 
 
+@pytest.mark.parametrize("n", (201, 401, 2000))
+def test_long_secrets(spark, n):
+    r = random.Random(n)
+    draw = lambda k, chars="abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789": "".join(r.choice(chars) for _ in range(k))
+    for chars in ("0123456789abcdef", "abcdefghijkmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"):
+        v = draw(n, chars)
+        assert secrets.candidates(f"it was {v} there") == [(7, 7 + n, "mixed")]
+        assert secrets.candidates(f"PRIVATE_KEY={v} there") == [(12, 12 + n, "assigned")]
+    keys = [head + draw(n) for head in ("ghp_", "xoxb-", "sk-")]
+    assert [secrets.candidates(f"a {k} b")[0][:2] for k in keys] == [(2, 2 + len(k)) for k in keys]
+    rows = [(1, f"PRIVATE_KEY={v} there"), (2, f"it was {v} there")]
+    assert {x.doc_id: x.text for x in secrets.redact(frame(spark, rows)).collect()} == {1: "PRIVATE_KEY=[SECRET] there", 2: "it was [SECRET] there"}
+
+
 # -- 2: main text
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; x</title><style>p{}</style><script>var a="</p>";</script></head><body>
