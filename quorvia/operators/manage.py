@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
+import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,26 +28,42 @@ def discover(records: DataFrame, catalog: list[str], facet: str, evaluator, *, i
     """Provisional definitions from records that no catalog concept covers.
 
     Uncovered records in the order of their fingerprint give up to ``exemplars`` exemplars that differ
-    (token Jaccard at most ``similarity`` from those before). Only that many records come to the
-    driver, a bounded head of the order at a time.
+    (token Jaccard at most ``similarity`` from those before). Equal texts are one record, of the
+    smallest id. A bounded head of the order at a time comes to the driver, of the records that differ
+    from all exemplars so far; each head that isn't empty has one more, until there are enough or the
+    records end.
     """
     spark = records.sparkSession
     judged = judge(records, {"_covered": choice_of(facet, [*catalog, "unknown"])}, evaluator, policy=policy) if catalog else records
     open_rows = judged.where("_covered.value_text is null") if catalog else judged
-    order = open_rows.select(F.sha2(F.col(text_col), 256).alias("fingerprint"), id_col, F.col(text_col).alias("_t")).orderBy("fingerprint", id_col).limit(exemplars * 10)
+    texts = open_rows.where(F.col(text_col).isNotNull()).groupBy(F.sha2(F.col(text_col), 256).alias("fingerprint")).agg(F.min(F.col(id_col)).alias(id_col), F.first(text_col).alias("_t")).persist(StorageLevel.DISK_ONLY)
     chosen: list[tuple] = []
-    import re
-
-    for row in order.toLocalIterator():
-        mine = set(re.findall(r"\w+", (row["_t"] or "").lower()))
-        if mine and all(len(mine & t) <= similarity * len(mine | t) for *_, t in chosen):
-            chosen.append((row["fingerprint"], row[id_col], row["_t"], mine))
-        if len(chosen) == exemplars:
-            break
+
+    def differs(text: str) -> bool:
+        mine = _words(text)
+        return bool(mine) and all(len(mine & t) <= similarity * len(mine | t) for *_, t in chosen)
+
+    def next_head() -> list:
+        @F.pandas_udf("boolean")
+        def fresh(x: pd.Series) -> pd.Series:
+            return x.map(differs).astype(bool)
+
+        rest = texts.where(F.col("fingerprint") > chosen[-1][0]) if chosen else texts
+        return rest.where(fresh("_t")).orderBy("fingerprint").limit(exemplars * 10).collect()
+
+    while len(chosen) < exemplars and (head := next_head()):
+        for row in head:
+            if len(chosen) < exemplars and differs(row["_t"]):
+                chosen.append((row["fingerprint"], row[id_col], row["_t"], _words(row["_t"])))
+    texts.unpersist()
     kind = records.schema[id_col].dataType.simpleString()
     return spark.createDataFrame([(f, i, t, "PROVISIONAL") for f, i, t, _ in chosen], f"fingerprint string, {id_col} {kind}, text string, status string")
 
 
+def _words(text: str) -> set[str]:
+    return set(re.findall(r"\w+", text.lower()))
+
+
 def nearest_by_tokens(records: DataFrame, exemplars: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     """The exemplar of greatest token overlap for each record; exemplars are at most twenty."""
     a = records.select(id_col, tokens(F.col(text_col)).alias("_a"))

@@ -404,3 +404,23 @@ def test_rate_gate(monkeypatch):
     monkeypatch.setattr(time, "sleep", slept.append)
     e = PythonEvaluator(_counting(), batch=1, per_minute=2)
     assert len(e.answer({}, ['{"t": "yes"}'] * 3)) == 3 and len(slept) == 1 and 50 < slept[0] <= 60
+
+
+def test_discover_walks_past_a_large_copy_group(spark):
+    import hashlib
+    import re
+
+    made = [f"topic{i} of record{i * 7} at place{i % 50}" for i in range(300)]
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    first = min(made, key=sha)
+    near = [f"{' '.join(f'word{k}' for k in range(30))} end{i}" for i in range(400)]
+    texts = [first] * 500 + near + made + [None, ""]
+    rows = list(enumerate(texts))
+    for exemplars in (10, 400):
+        want = []
+        for i, t in sorted(((i, t) for i, t in rows if t), key=lambda x: (sha(x[1]), x[0])):
+            mine = set(re.findall(r"\w+", t.lower()))
+            if mine and all(len(mine & o) <= 0.8 * len(mine | o) for _, o in want):
+                want.append((i, mine))
+        got = manage.discover(spark.createDataFrame(rows, "id int, text string"), [], "topic", None, id_col="id", text_col="text", exemplars=exemplars)
+        assert [r.id for r in got.collect()] == [i for i, _ in want[:exemplars]] and len(want) == 301
