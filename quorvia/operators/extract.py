@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import sys
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -98,16 +99,20 @@ def _typed(ddl: str, kind: str, options: dict):
 def extract_table(documents: DataFrame, columns: dict[str, dict], evaluator, *, id_col: str, text_col: str, record_mode: str = "line", missing: str = "unknown", max_rows: int = 200, policy: Policy = Policy()) -> DataFrame:
     """Records of documents as typed columns with their evidence.
 
-    Passages (by ``record_mode``) are records if known to be (question ``record``). For each column a
+    Lines, paragraphs or documents (by ``record_mode``), whole whatever their length, or in mode
+    ``auto`` passages, are records if known to be (question ``record``). Of more than ``max_rows``
+    records of a document the first are kept and ``truncated`` is true. For each column a
     passage's literal spans, or the passage's part that its ``pattern`` finds, are candidates; the one
     likeliest to be the field (question ``field:<name>``, with ``candidate``) is converted exactly to
     the column's ``type``. A value that doesn't convert is missing: null with state UNKNOWN, or with
     ``missing='drop'`` its row is left out.
     """
-    rows = documents.select(id_col, F.posexplode(S.passages(F.col(text_col), record_mode)).alias("record", "_p")).select(id_col, "record", F.col("_p.text").alias("passage"), F.col("_p.start").alias("passage_start"))
+    units = S.passages(F.col(text_col), record_mode) if record_mode == "auto" else S.passages(F.col(text_col), record_mode, sys.maxsize)
+    rows = documents.select(id_col, F.posexplode(units).alias("record", "_p")).select(id_col, "record", F.col("_p.text").alias("passage"), F.col("_p.start").alias("passage_start"))
     rows = judge(rows, {"_record": proposition("record")}, evaluator, policy=policy).where("_record.value_bool").drop("_record")
     nth = W.partitionBy(id_col).orderBy("record")
-    rows = rows.withColumn("_n", F.row_number().over(nth)).where(F.col("_n") <= max_rows).drop("_n")
+    rows = rows.withColumn("_n", F.row_number().over(nth)).where(F.col("_n") <= max_rows + 1)
+    rows = rows.withColumn("truncated", F.max("_n").over(W.partitionBy(id_col)) > max_rows).where(F.col("_n") <= max_rows).drop("_n")
     for name, spec in columns.items():
         kind = spec.get("type", "text")
         if pattern := spec.get("pattern"):
@@ -136,4 +141,6 @@ def extract_table(documents: DataFrame, columns: dict[str, dict], evaluator, *,
 
 
 def table_is_complete(rows: DataFrame) -> DataFrame:
-    return rows.agg(F.coalesce(F.bool_and(F.col("output_state") == VALUE), F.lit(True)).alias("complete"), F.count_if(F.col("output_state") == NOT_EVALUATED).alias("not_evaluated"))
+    known = F.col("output_state") == VALUE
+    whole = known & ~F.col("truncated") if "truncated" in rows.columns else known
+    return rows.agg(F.coalesce(F.bool_and(whole), F.lit(True)).alias("complete"), F.count_if(F.col("output_state") == NOT_EVALUATED).alias("not_evaluated"))

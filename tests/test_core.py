@@ -424,3 +424,14 @@ def test_discover_walks_past_a_large_copy_group(spark):
                 want.append((i, mine))
         got = manage.discover(spark.createDataFrame(rows, "id int, text string"), [], "topic", None, id_col="id", text_col="text", exemplars=exemplars)
         assert [r.id for r in got.collect()] == [i for i, _ in want[:exemplars]] and len(want) == 301
+
+
+def test_extract_table_keeps_long_records_whole_and_tells_of_truncation(spark):
+    e = ColumnEvaluator({"record": F.lit(0.9), "field:n": F.lit(0.9)})
+    long = " ".join(f"word{'x' * (i % 3)}" for i in range(500)) + " costs 17"
+    docs = spark.createDataFrame([(1, long), (2, "\n".join(f"costs {i}" for i in range(5))), (3, "costs 1\ncosts 2")], "id int, text string")
+    got = extract.extract_table(docs.where("id = 1"), {"n": {"type": "integer"}}, e, id_col="id", text_col="text", record_mode="document").collect()
+    assert [(r.n, r.passage) for r in got] == [(17, long)]
+    rows = extract.extract_table(docs.where("id > 1"), {"n": {"type": "integer"}}, e, id_col="id", text_col="text", max_rows=3)
+    assert sorted((r.id, r.n, r.truncated) for r in rows.collect()) == [(2, 0, True), (2, 1, True), (2, 2, True), (3, 1, False), (3, 2, False)]
+    assert not extract.table_is_complete(rows).first().complete and extract.table_is_complete(rows.where("id = 3")).first().complete
