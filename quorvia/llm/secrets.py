@@ -47,7 +47,7 @@ _SYLLABLES = frozenset("the and ing ion ent ati for her ter hat tha ere ate his
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of what may be a secret, by start; kinds in order of precedence don't overlap."""
+    """(start, end, kind) of what may be a secret, by start, the longer first; they may overlap."""
     found: list[tuple[int, int, str]] = []
     if any(h in text for h in _HINTS):
         found += [(m.start(), m.end(), m.lastgroup) for m in _SHAPES.finditer(text)]
@@ -57,7 +57,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
         found += [(*m.span(), "mixed") for m in _MIXED.finditer(text)]
     out: list[tuple[int, int, str]] = []
     for span in sorted(found, key=lambda x: (x[0], -x[1], x[2])):
-        if not out or span[0] >= out[-1][1]:
+        if not out or span[:2] != out[-1][:2]:
             out.append(span)
     return out
 
@@ -109,11 +109,13 @@ def labelled_findings(count: int = FINDINGS, seed: int = SEED) -> list[tuple[str
     for _ in range(count):
         path, pre, post = r.choice(paths), prose() + " ", r.choice(["\" ", " ", "' ", ""]) + prose()
         if r.random() < 0.5:
-            pick = r.randrange(9)
+            pick = r.randrange(12)
             value, kind = (
                 (draw(hexa, r.choice((16, 18, 24, 32, 40, 64))), "assigned"), (draw(alnum, r.randint(10, 48)), "assigned"), (draw(b64, r.randint(24, 64)) + "=" * r.randint(0, 2), "assigned"),
                 (r.choice(("AKIA", "ASIA")) + draw(string.ascii_uppercase + string.digits, 16), "aws"), ("ghp_" + draw(alnum, 36), "git"), ("xoxb-" + draw(string.digits, 11) + "-" + draw(alnum, 24), "chat"),
                 ("sk-" + draw(alnum, r.randint(24, 48)), "api"), ("eyJ" + draw(b64[:62], 20) + "." + draw(b64[:62], 40) + "." + draw(b64[:62], 43), "jwt"), (draw(alnum + "!@#%^&*", r.randint(8, 20)), "assigned"),
+                (draw(r.choice((alnum, b64)), r.randint(24, 120)), "mixed"), ("AIza" + draw(alnum + "_-", 35), "map"),
+                ("-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(draw(b64, 64) for _ in range(r.randint(3, 25))) + "\n-----END RSA PRIVATE KEY-----", "pem"),
             )[pick]
             if kind == "assigned":
                 pre += r.choice(names) + r.choice(ops)
@@ -211,14 +213,19 @@ def _default_forest() -> Forest:
 
 
 def find_secrets(text: str, path: str, forest: Forest, threshold: float = THRESHOLD) -> tuple[int, list[tuple[int, int, str, float]]]:
-    """Number of candidates, and (start, end, kind, probability) of those that are secrets."""
+    """Number of candidates, and (start, end, kind, probability) of those that are secrets; secrets
+    that overlap are one."""
     spans = candidates(text)
     out = []
     for start, end, kind in spans:
+        if out and end <= out[-1][1]:
+            continue
         p = forest.probability(features(text[start:end], text[max(0, start - 60) : start], text[end : end + 40], path, kind))
         if p >= threshold:
             while end > start + 1 and text[end - 1] in "!?.,;:#$%&*|":
                 end -= 1
+            if out and start < out[-1][1]:
+                start, kind, p = out[-1][0], out[-1][2], max(p, out.pop()[3])
             out.append((start, end, kind, p))
     return len(spans), out
 
