@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import math
 import os
 import tempfile
 import uuid
@@ -82,6 +83,19 @@ def id_ddl(df: DataFrame, id_col: str) -> str:
     return df.schema[id_col].dataType.simpleString()
 
 
+def free_name(df: DataFrame, wish: str) -> str:
+    """A column name that ``df`` doesn't have yet, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while wish.lower() in taken:
+        wish = f"_{wish}"
+    return wish
+
+
+def partitions_for(spark: SparkSession, size: float, target: int = 64 << 20) -> int:
+    """Shuffle partitions for so many bytes: the session's number, or more, of ``target`` bytes each."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / target))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors reach: ``spark.checkpoint.dir``; only where that is unset, as in
     tests on one machine, a temporary one."""
