@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet in the
 shared folder and read again as the next stage's documents. All but the last return the columns of
-``documents``.
+``documents``, further ones among them, in their order. An empty table makes every stage empty.
 """
 
 from __future__ import annotations
@@ -16,27 +16,29 @@ from quorvia.llm.common import shared_dir, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go, repeated rows each; null and empty texts get
+    the classifier's bias alone; without labels all stay."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays."""
+    """One row of each class of near-duplicate texts stays; null and empty texts are one class; rows
+    without an id stay."""
     return simhash.keep_representatives(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with windows of two or more benchmark items go."""
+    """Documents with any window of a benchmark item go; null and empty texts stay."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets give way to a mark; the documents stay."""
+    """Secrets give way to a mark and ``n_chars`` follows; the documents stay, null texts null."""
     return secrets.redact(docs)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and the digests of the ids and of the text they decode to."""
+    """Token counts and the digests of the ids and of the text they decode to; null texts are empty."""
     return bpe.encoding_digests(docs)
 
 

@@ -6,8 +6,9 @@ an occurrence, and where the shift is nought a bucket of patterns with that suff
 by word. Words outside the benchmark's vocabulary share one number, so most of a text is skipped in
 steps of seven words.
 
-The benchmark's patterns travel with the tasks in parts of a bounded size (``block_bytes``); a
-benchmark beyond it is searched part by part and the parts' hits are merged per document.
+The benchmark's patterns travel with the tasks in parts of a bounded size (``block_bytes``). A benchmark
+beyond it is searched part by part: only one part at a time is at the driver and in a task, its finds
+are written down before the next begins, and the finds of a document are merged.
 
 Edge cases: a null or empty text has no words, is reported with noughts and the digest of the empty
 string; a benchmark row without words is never found; rows with the same ``item_id`` are one item;
@@ -18,13 +19,15 @@ an empty benchmark leaves all clean; columns other than the ids and texts are ig
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quorvia.llm.common import id_and_text, id_ddl, map_arrow, passthrough, quiet_gc, texts_of
+from quorvia.llm.common import checkpointed, free_name, id_and_text, id_ddl, map_arrow, quiet_gc, texts_of
 
 WINDOW = 8
 #: Most bytes of benchmark text that one pass takes to the tasks.
@@ -99,20 +102,23 @@ class Patterns:
         return hit, found
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _patterns(items: tuple, window: int) -> Patterns:
     return Patterns(items, window)
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[tuple]:
-    """The benchmark's (id, text) rows in parts of about ``block_bytes`` each."""
+def _parts(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[int, Callable[[int], tuple]]:
+    """The number of parts of about ``block_bytes`` of the benchmark, and what fetches the (id, text)
+    rows of one."""
     rows = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("text is not null").distinct()
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = -(-total // block_bytes) or 1
-    if parts == 1:
-        return [tuple(sorted(((r.item, r.text) for r in rows.collect()), key=lambda x: (x[0] is not None, x[0] or "", x[1])))]
-    cut = rows.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(parts)))
-    return [tuple((r.item, r.text) for r in cut.where(F.col("part") == p).orderBy("item", "text").collect()) for p in range(parts)]
+
+    def fetch(part: int) -> tuple:
+        found = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part)
+        return tuple(sorted(((r.item, r.text) for r in found.collect()), key=lambda x: (x[0] is not None, x[0] or "", x[1])))
+
+    return parts, fetch
 
 
 def _digest(items) -> str:
@@ -125,7 +131,7 @@ def contamination(
 ) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, item_ids, contaminated`` of each document."""
     rows, key = id_and_text(docs, id_col, text_col), id_ddl(docs, id_col)
-    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    parts, fetch = _parts(benchmark, item_col, item_text_col, block_bytes)
     names = ["doc_id", "n_words", "n_hit", "item_ids"]
 
     def scan(items, with_hits: bool):
@@ -146,14 +152,16 @@ def contamination(
         return run
 
     schema = f"doc_id {key}, n_words bigint, n_hit bigint, item_ids array<string>"
-    if len(blocks) == 1:
-        out = map_arrow(rows, scan(blocks[0], False), schema)
+    if parts == 1:
+        out = map_arrow(rows, scan(fetch(0), False), schema)
     else:  # the parts of a document meet again by its id and text; equal rows count as often as they stood
         rows = rows.groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
         rows = rows.withColumn("row", F.sha2(F.concat_ws("\0", F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))), 256))
         out = None
-        for items in blocks:
-            part = map_arrow(rows, scan(items, True), schema + ", row string, marks binary")
+        for number in range(parts):
+            part = map_arrow(rows, scan(fetch(number), True), schema + ", row string, marks binary")
+            # of the later parts only the documents with finds are written
+            part = checkpointed(part if number == 0 else part.where("marks is not null"))
             out = part if out is None else out.unionByName(part)
         size = "array_max(transform(marks, m -> length(m)))"
         out = (
@@ -173,21 +181,40 @@ def contamination_digests(docs: DataFrame, benchmark: DataFrame, **options) -> D
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, min_items: int = 2, block_bytes: int = BLOCK_BYTES, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has windows of fewer than ``min_items`` items."""
-    blocks = _blocks(benchmark, "item_id", "text", block_bytes)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, min_items: int = 1, block_bytes: int = BLOCK_BYTES, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, but those whose text has windows of ``min_items`` items or more:
+    by default, any window at all (of an item without an id as well)."""
+    parts, fetch = _parts(benchmark, item_col, item_text_col, block_bytes)
+    so_far = free_name(docs, "items_found")
+    names = docs.columns
 
-    def run(batch: pa.RecordBatch):
-        quiet_gc()
-        texts = texts_of(batch, text_col)
-        found = [set() for _ in texts]
-        for items in blocks:
-            p = _patterns(items, window)
-            for have, text in zip(found, texts):
-                have |= p.scan(text)[1]
-        yield passthrough(batch, [len(x) < min_items for x in found])
+    def scan(items: tuple, first: bool, last: bool):
+        def run(batch: pa.RecordBatch):
+            quiet_gc()
+            p, texts = _patterns(items, window), texts_of(batch, text_col)
+            before = [[] for _ in texts] if first else batch.column(so_far).to_pylist()
+            found = []
+            for text, have in zip(texts, before):
+                hit, items_in = p.scan(text)
+                # a window of an item without an id counts as one unknown item
+                found.append(sorted(items_in.union(have)) or ([""] if 1 in hit else []))
+            stays = pa.array([len(f) < min_items for f in found])
+            if not last:
+                batch = pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found, pa.list_(pa.string()))], [*names, so_far])
+            elif not first:
+                batch = batch.select(names)
+            yield batch.filter(stays)
+
+        return run
 
-    return map_arrow(docs, run, docs.schema)
+    out = docs
+    for number in range(parts):
+        last = number == parts - 1
+        schema = docs.schema if last else T.StructType([*docs.schema.fields, T.StructField(so_far, T.ArrayType(T.StringType()))])
+        out = map_arrow(out, scan(fetch(number), number == 0, last), schema)
+        if not last:
+            out = checkpointed(out)
+    return out
 
 
 ORACLE = r"""
