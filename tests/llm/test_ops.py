@@ -5,6 +5,7 @@ import html
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -398,12 +399,64 @@ def test_main_text(spark):
     assert htmlmain.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
-def test_minimum_cut_against_brute_force():
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article><p title=it's>one text here.</p><p>don't drop me.</p></article>", "one text here.\ndon't drop me."),
+        ('<p class="x>Hello there.</p>', ""),  # the page ends within a quoted value
+        ("<p data-x='a > b' title=\"it's\" hidden-thing>kept text.</p>", "kept text."),
+        ("<p a=1/b=2 =c d= e>odd attributes.</p>", "odd attributes."),
+        ("<!--><p>after an empty comment.</p><!-- > --!><p>more of it.</p><!-- open", "after an empty comment.\nmore of it."),
+        ("<p>3 < 4 and 5 </3 is shown</p>", "3 < 4 and 5"),  # a slash makes a comment of what follows
+        ("<p>for <math><mi>x</mi><annotation>x^2</annotation></math> it holds</p>", "for x it holds"),
+        ("<p>&am<b>p; is two runs</b></p>", "&amp; is two runs"),
+        ("<p>&amp;amp; once</p>", "&amp; once"),
+        ("<script>'<p>no</p>'</script ><p>yes it is.</p><style>p{}</style", "yes it is."),
+        ("<article><p>First paragraph of it all.</p><div class='post-tags meta'><p>A paragraph under a bad name.</p></div><p>The last one of it.</p></article>", "First paragraph of it all.\nA paragraph under a bad name.\nThe last one of it."),
+        ("<article><p>First paragraph of it all.</p><div class=ad><p>Buy this thing now, it is good.</p></div><p hidden>Not to be seen by anyone.</p></article>", "First paragraph of it all."),
+    ],
+)
+def test_tags_as_the_standard_reads_them(page, text):
+    assert htmlmain.main_text(page) == text
+
+
+def test_the_cut_changes_labels_for_the_better():
+    weights, cut, alone, pages = htmlmain.default_weights(), 0, 0, htmlmain.labelled_pages(300, seed=5)
+    for page, labels in pages:
+        found = htmlmain.blocks(page)
+        a, b = htmlmain.prices(found, weights)
+        cut += sum(x == y for x, y in zip(htmlmain.minimum_cut(a, b, htmlmain.edges_of(found)), labels))
+        alone += sum((x > y) == z for x, y, z in zip(a, b, labels))
+    total = sum(len(x) for _, x in pages)
+    assert cut > alone and cut >= 0.97 * total
+
+
+def test_a_long_mixed_page_takes_no_long_time():
+    r = random.Random(1)
+    kinds = ("<p>short</p>", "<div class=meta><p>some words that are here now.</p></div>", "<li><a href=x>abc</a></li>", "<div class=ad>Buy it now or never.</div>", "<p>A sentence that says something at length, more or less.</p>")
+    found = htmlmain.blocks("".join(r.choice(kinds) for _ in range(50_000)))
+    edges = htmlmain.edges_of(found)
+    began = time.perf_counter()
+    stay = htmlmain.minimum_cut(*htmlmain.prices(found, htmlmain.default_weights()), edges)
+    assert time.perf_counter() - began < 10 and len(stay) == 50_000
+
+
+def test_edges_of_pages_dont_cross():
+    r = random.Random(2)
+    tags = ("div", "section", "ul", "li", "td")
+    for _ in range(40):
+        page = "".join(r.choice((f"<{r.choice(tags)}>", f"</{r.choice(tags)}>", "text ")) for _ in range(80))
+        e = [x[:2] for x in htmlmain.edges_of(htmlmain.blocks(page))]
+        assert not any(a < c < b < d for a, b in e for c, d in e)
+
+
+@pytest.mark.parametrize("share", (0.3, 0.5, 1.0))
+def test_minimum_cut_against_brute_force(share):
     r = random.Random(1)
     for _ in range(60):
-        n = r.randint(1, 7)
+        n = r.randint(1, 8)
         s, t = [r.randint(0, 9) for _ in range(n)], [r.randint(0, 9) for _ in range(n)]
-        edges = [(i, j, r.randint(1, 5)) for i in range(n) for j in range(i + 1, n) if r.random() < 0.5]
+        edges = [(i, j, r.randint(1, 5)) for i in range(n) for j in range(i + 1, n) if r.random() < share]
         cost = lambda x: sum(b if keep else a for a, b, keep in zip(s, t, x)) + sum(c for i, j, c in edges if x[i] != x[j])
         best = min(map(cost, itertools.product((False, True), repeat=n)))
         assert abs(cost(htmlmain.minimum_cut(list(map(float, s)), list(map(float, t)), edges)) - best) < 1e-6
