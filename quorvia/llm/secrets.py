@@ -1,8 +1,8 @@
 """Secret scan: patterns propose candidates, a random forest removes the false ones.
 
 Candidates are well-known key shapes, values assigned to telling names, and long mixed strings. Each
-becomes features of its length, characters and their transitions, coverage by dictionary syllables,
-the path it stands under and the words beside it. A forest of decision trees, trained from labelled
+becomes features of its length, characters and their transitions, coverage by a dictionary of frequent
+syllables, the path it stands under and the words beside it. A forest of decision trees, trained from labelled
 findings, gives the probability that a candidate is a secret. ``labelled_findings`` makes the findings
 used unless others are given: real shapes against placeholders, digests of commits and files, uuids,
 numbers, identifiers, links and plain words.
@@ -109,13 +109,14 @@ def labelled_findings(count: int = FINDINGS, seed: int = SEED) -> list[tuple[str
     for _ in range(count):
         path, pre, post = r.choice(paths), prose() + " ", r.choice(["\" ", " ", "' ", ""]) + prose()
         if r.random() < 0.5:
-            pick = r.randrange(12)
+            pick = r.randrange(13)
             value, kind = (
                 (draw(hexa, r.choice((16, 18, 24, 32, 40, 64))), "assigned"), (draw(alnum, r.randint(10, 48)), "assigned"), (draw(b64, r.randint(24, 64)) + "=" * r.randint(0, 2), "assigned"),
                 (r.choice(("AKIA", "ASIA")) + draw(string.ascii_uppercase + string.digits, 16), "aws"), ("ghp_" + draw(alnum, 36), "git"), ("xoxb-" + draw(string.digits, 11) + "-" + draw(alnum, 24), "chat"),
                 ("sk-" + draw(alnum, r.randint(24, 48)), "api"), ("eyJ" + draw(b64[:62], 20) + "." + draw(b64[:62], 40) + "." + draw(b64[:62], 43), "jwt"), (draw(alnum + "!@#%^&*", r.randint(8, 20)), "assigned"),
                 (draw(r.choice((alnum, b64)), r.randint(24, 120)), "mixed"), ("AIza" + draw(alnum + "_-", 35), "map"),
                 ("-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(draw(b64, 64) for _ in range(r.randint(3, 25))) + "\n-----END RSA PRIVATE KEY-----", "pem"),
+                (word() + draw(string.digits, r.randint(1, 4)) + r.choice((str.lower, str.capitalize))(word()) + draw(string.ascii_uppercase + string.digits + "!#", r.randint(0, 3)), "assigned"),
             )[pick]
             if kind == "assigned":
                 pre += r.choice(names) + r.choice(ops)
