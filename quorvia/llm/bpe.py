@@ -102,7 +102,7 @@ class Vocabulary:
         at = self.offsets.tolist()
         self._pieces = [self.blob[s:e] for s, e in zip(at, at[1:])]
         self.specials = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self.compatible = ChunkTable(lambda pair: self._compatible(pair >> 32, pair & 0xFFFFFFFF), 500_000)
+        self.compatible = ChunkTable(lambda pair: self._compatible(pair >> 32, pair & 0xFFFFFFFF), 500_000, longest=0)
         self.word_ids = ChunkTable(self._word, 300_000)
         self.chunk_ids = ChunkTable(self._chunk, 300_000)
 

@@ -27,14 +27,18 @@ class ChunkTable(dict):
 
     Real text repeats its words, so a hit costs one C-level lookup. When the young generation is
     full it becomes the old one, from which entries still in use come back without being computed
-    again. The bound keeps a worker's memory constant however many distinct words the corpus holds.
+    again. Chunks of more than ``longest`` letters, which seldom come again, are computed each time; so
+    both the number and the size of the entries are bounded, whatever the corpus holds. Keys that are
+    numbers have ``longest`` 0.
     """
 
-    def __init__(self, make: Callable, limit: int = 250_000):
+    def __init__(self, make: Callable, limit: int = 250_000, longest: int = 64):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.longest, self.old = make, limit, longest, {}
 
     def __missing__(self, key):
+        if self.longest and len(key) > self.longest:
+            return self.make(key)
         value = self.old.get(key)
         if value is None:
             value = self.make(key)

@@ -133,7 +133,8 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 def pack(docs: DataFrame, *, path: str | None = None, length: int = LENGTH, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of packed matrices; see the module."""
+    """Rows of packed matrices; see the module. ``position_ids`` take four bytes each where the ids do,
+    or where ``length`` is over 65,536."""
     path, key = path or default_path(), id_ddl(docs, id_col)
     key_type = pa.schema([("k", pa.int64())]).field("k").type if key == "bigint" else None
     names = ["shard", "row", "input_ids", "n_tokens", "cu_seqlens", "position_ids", "segments"]
@@ -143,6 +144,7 @@ def pack(docs: DataFrame, *, path: str | None = None, length: int = LENGTH, shar
 
         quiet_gc()
         v = vocabulary(path)
+        places = v.kind if length <= 1 << 16 else "<u4"
         part, shard, held = TaskContext.get().partitionId(), 0, 0
         pieces: list[tuple] = []  # length, id, place, ids
         kind = key_type
@@ -154,7 +156,7 @@ def pack(docs: DataFrame, *, path: str | None = None, length: int = LENGTH, shar
             for at in range(0, len(bins), 512):
                 cols: list[list] = [[] for _ in names]
                 for row, members in enumerate(bins[at : at + 512], at):
-                    ids, pos = np.full(length, v.end, v.kind), np.zeros(length, v.kind)
+                    ids, pos = np.full(length, v.end, v.kind), np.zeros(length, places)
                     cuts, segs, used = [0], [], 0
                     for i in members:
                         n, doc, place, tokens = order[i]

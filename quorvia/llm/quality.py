@@ -7,7 +7,8 @@ sparse dot product over the whole text, and only the text.
 
 Edge cases: null and empty texts have no features and get the bias alone; without labels, or with
 labels of one kind, the weights stay as the prior has them (score 0.5 without any label); repeated
-rows are scored each; labels that are null are ignored; other columns are not looked at.
+rows are scored each, and an id repeated in the sample is learnt from once; labels that are null are
+ignored; a row without an id is in no test fold; other columns are not looked at.
 """
 
 from __future__ import annotations

@@ -13,7 +13,6 @@ at each place; each input row gives a row; a null path is the empty path; other
 
 from __future__ import annotations
 
-import hashlib
 import math
 import random
 import re
@@ -277,8 +276,3 @@ def redact(docs: DataFrame, *, findings: list | None = None, threshold: float =
         yield pa.RecordBatch.from_arrays(columns, names)
 
     return map_arrow(docs, run, docs.schema)
-
-
-def fingerprint(value: str) -> str:
-    """A digest by which findings can be counted without being written down."""
-    return hashlib.sha256(value.encode()).hexdigest()[:16]

@@ -69,12 +69,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, limit: int,
 
 
 def held_out(doc_id):
-    """Whether a row belongs to the test fold."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+    """Whether a row belongs to the test fold; one without an id doesn't."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def training_rows(sample: DataFrame, slots_of: Callable[[str], tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """The sample's sparse rows at the driver, in a fixed order; its size is bounded by the sample's."""
+    """The sample's sparse rows at the driver, in a fixed order: one for each id, the smallest, so that
+    repeated rows of an id don't add to what the sample's limit allows."""
 
     def run(batch: pa.RecordBatch):
         quiet_gc()
@@ -84,7 +85,8 @@ def training_rows(sample: DataFrame, slots_of: Callable[[str], tuple[np.ndarray,
             ["doc_id", "slots", "values", "grade"],
         )
 
-    got = map_arrow(sample, run, "doc_id string, slots binary, values binary, grade bigint").toArrow()
+    made = map_arrow(sample, run, "doc_id string, slots binary, values binary, grade bigint")
+    got = made.groupBy("doc_id").agg(F.min(F.struct("slots", "values", "grade")).alias("x")).select("doc_id", "x.*").toArrow()
     rows = zip(*(got.column(c).to_pylist() for c in ("doc_id", "slots", "values", "grade")))
     rows = sorted(rows, key=lambda r: (xxhash.xxh3_64_intdigest((r[0] or "").encode()), r[0] or "", r[1], r[3]))
     return [(np.frombuffer(s, "<i4"), np.frombuffer(v, "<f4").astype(np.float64), g) for _, s, v, g in rows]

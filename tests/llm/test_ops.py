@@ -3,9 +3,11 @@
 import hashlib
 import html
 import itertools
+import math
 import random
 import re
 import time
+import zlib
 
 import numpy as np
 import pytest
@@ -289,11 +291,30 @@ def test_quality_on_held_out_rows(spark, odd, none):
     held = [x for x in got if x.held_out]
     assert 0.2 < len(held) / len(got) < 0.5
     assert sum(x.predicted == truth[x.doc_id] for x in held) >= 0.95 * len(held)
-    import zlib
-
     assert all(x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 3 == 1) for x in got)
     flipped = known.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, 1 - F.col("quality")).otherwise(F.col("quality")))
     assert {x.doc_id: x.score for x in quality.scores(frame(spark, rows), flipped).collect()} == {x.doc_id: x.score for x in got}
+    # the whole fit again, row by row with plain dictionaries
+    weights, bias = quality.fit(frame(spark, rows), known)
+    model, size = {}, quality.BITS
+    examples = [(quality.features(t), truth[d], d) for d, t in rows if zlib.crc32(str(d).encode()) % 3 != 1]
+    examples.sort(key=lambda e: (sparse.xxhash.xxh3_64_intdigest(str(e[2]).encode()), str(e[2])))
+    weight = lambda z, n: 0.0 if abs(z) <= 0.02 else -(z - math.copysign(0.02, z)) / ((1 + math.sqrt(n)) / 0.5 + 1e-4)
+    for _ in range(quality.EPOCHS):
+        for (slots, values), y, _ in examples:
+            x = [*zip(slots.tolist(), np.float32(values).astype(float).tolist()), (1 << size, 1.0)]
+            w = {i: weight(*model.get(i, (0.0, 0.0))) for i, _ in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x)))
+            for i, v in x:
+                z, n = model.get(i, (0.0, 0.0))
+                g = (p - y) * v
+                model[i] = (z + g - (math.sqrt(n + g * g) - math.sqrt(n)) / 0.5 * w[i], n + g * g)
+    assert abs(weight(*model[1 << size]) - bias) < 1e-6
+    for d, t in rows[:40]:
+        slots, values = quality.features(t)
+        z = bias + sum(weight(*model.get(i, (0.0, 0.0))) * v for i, v in zip(slots.tolist(), values.tolist()))
+        assert abs(1 / (1 + math.exp(-z)) - next(x.score for x in got if x.doc_id == d)) < 1e-4
+    assert [x.held_out for x in quality.scores(odd, known).collect() if x.doc_id is None] == [False]
     unlabelled = quality.scores(odd, known.limit(0)).collect()
     assert len(unlabelled) == len(ODD) and all(x.score == 0.5 and x.predicted == 1 for x in unlabelled)
     assert quality.scores(none, known).count() == 0
@@ -308,6 +329,15 @@ def test_toxicity_grades(spark, odd, none):
     assert sum(got[d].toxic == bool(t) for d, _, t in labels) >= 0.97 * len(labels)
     assert toxicity.severities(odd, known).count() == len(ODD) and toxicity.severities(none, known).count() == 0
     assert all(x.severity == 0 for x in toxicity.severities(odd, known.limit(0)).collect())
+    # the score of a text by hand: the sum of its distinct slots' weights against the thresholds
+    examples = [(toxicity.features(t)[0], None, y) for (_, t), (_, _, y) in zip(rows, labels)]
+    model = toxicity.Ordinal([0, 1, 3], np.linspace(-1, 1, 1 << toxicity.BITS).astype(np.float32), np.array([-0.5, 0.5]))
+    for slots, _, _ in examples[:30]:
+        z = sum(float(model.weights[i]) for i in set(slots.tolist()))
+        above = [1 / (1 + math.exp(-max(-35, min(35, z - t)))) for t in (-0.5, 0.5)]
+        p = [1 - above[0], above[0] - above[1], above[1]]
+        severity, grade = model.judge(slots)
+        assert abs(severity - (p[1] + 3 * p[2])) < 1e-6 and grade == [0, 1, 3][p.index(max(p))]
     # ordered grades share weights: severity grows with the grade
     r, examples = np.random.default_rng(0), []
     for i in range(1500):
@@ -501,6 +531,15 @@ def test_nearest_recall_and_edges(spark):
 # -- 1: packing
 
 
+def test_packed_matrices_as_files(spark, odd, tmp_path):
+    packing.write_packed(packing.pack(odd, length=128), str(tmp_path / "packed"))
+    rows = spark.read.parquet(str(tmp_path / "packed")).collect()
+    assert packing.matrix(rows).shape == (len(rows), 128)
+    row = packing.pack(frame(spark, [(1, LONG)]), length=100_000).first()  # positions beyond two bytes
+    pos = np.frombuffer(row.position_ids, "<u4")
+    assert row.n_tokens > 65_536 and (pos[: row.n_tokens] == np.arange(row.n_tokens)).all()
+
+
 def test_packing_is_lossless(spark, odd, none):
     v = packing.vocabulary(packing.default_path())
     got = packing.pack(odd, length=64, shard_tokens=5000).collect()
