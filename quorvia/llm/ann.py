@@ -7,16 +7,20 @@ costs ``eta`` times the rest. A query becomes a table of 16 partial products for
 components; a scan adds up table entries by code. The best of a scan are reranked on the original
 vectors in double precision.
 
-Vectors stand in lists of their nearest coarse centre; a query visits the lists nearest to it until
-it has seen enough of them and of vectors. Lists meet queries in an equi-join by list and block:
-large lists are split into blocks of a bounded number of rows, so neither a hot list nor the set of
-queries has to fit into a task or to be broadcast. Centres and codewords are fitted on at most
-``SAMPLE`` vectors; every vector is indexed.
+Vectors stand in lists of their nearest coarse centre; a query visits the lists nearest to it, as many
+as hold ``PROBE_RECALL`` of the neighbours in the sample (few where the vectors form clusters, most where
+they don't), and no fewer than hold a few thousand vectors. A list is split into blocks of about
+``BLOCK_ROWS`` vectors and its queries into blocks of about ``QUERY_ROWS``; a task scans one block for
+one, so its memory is bounded by these two whatever the table, the list and the number of queries are.
+What moves is codes, half a byte for two components; the vectors themselves are joined to the
+``RERANK`` best of a query only. Centres and codewords are fitted on at most ``SAMPLE`` vectors; every
+vector is indexed.
 
 Edge cases: null and zero vectors, and those with a null or non-finite component, take no part, nor
 do vectors of another length than most have (the shorter of equally frequent ones counts); rows with
 the query's id are not its candidates; repeated rows of another id are candidates each; of a repeated
-query id one vector asks; with fewer candidates than asked for, all are returned; no vectors, no rows.
+query id the least vector asks; ties, copies under many ids among them, go to smaller ids; with fewer
+candidates than asked for, all are returned; no vectors, no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,15 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quorvia.llm.common import map_arrow, quiet_gc
+from quorvia.llm.common import checkpointed, map_arrow, quiet_gc
 
 SAMPLE = 20_000
 LIST_ROWS, MAX_LISTS = 4_000, 1_024
-#: Share of the lists that a query visits at least. On vectors without clear clusters half of the lists
-#: hold only 0.8 of the nearest, so by default the table scan goes over all of them, block by block.
-PROBED = 1.0
-BLOCK_ROWS = 8_192
-RERANK = 96
+#: Share of the sample's neighbours that the visited lists must hold.
+PROBE_RECALL, PROBE_QUERIES = 0.98, 256
+BLOCK_ROWS, QUERY_ROWS = 1 << 18, 1 << 13
+RERANK = 256
 NEAREST = 10
 ANGLE = 0.2  # threshold of the score-aware loss
 
@@ -131,6 +134,30 @@ class Index:
             out += tables[:, codes[:, j]]
         return out
 
+    def lists_to_visit(self, sample: np.ndarray, k: int, recall: float) -> int:
+        """How many of the nearest lists hold that share of the neighbours of some of the sample in it."""
+        asking = sample[:PROBE_QUERIES]
+        far = _dist2(asking, sample)
+        far[np.arange(len(asking)), np.arange(len(asking))] = np.inf
+        k = min(k, len(sample) - 1)
+        if k < 1:
+            return 1
+        near = np.argpartition(far, k - 1, axis=1)[:, :k]
+        place = np.argsort(np.argsort(_dist2(asking, self.centres), axis=1, kind="stable"), axis=1)
+        found = np.sort(np.take_along_axis(place, self.lists_of(sample)[near], 1), axis=None)
+        return int(found[min(len(found) - 1, int(np.ceil(recall * len(found))) - 1)]) + 1
+
+
+def packed_codes(codes: np.ndarray) -> np.ndarray:
+    """Two four-bit codes in a byte."""
+    if codes.shape[1] % 2:
+        codes = np.concatenate([codes, np.zeros((len(codes), 1), np.uint8)], 1)
+    return codes[:, ::2] | codes[:, 1::2] << 4
+
+
+def unpacked_codes(packed: np.ndarray, pairs: int) -> np.ndarray:
+    return np.stack([packed & 15, packed >> 4], 2).reshape(len(packed), -1)[:, :pairs]
+
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
@@ -147,8 +174,8 @@ def valid_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def nearest(
-    rows: DataFrame, *, k: int = NEAREST, queries: str = "vec_id % 100 = 0", sample: int = SAMPLE, list_rows: int = LIST_ROWS, probed: float = PROBED, rerank: int = RERANK,
-    id_col: str = "vec_id", vector_col: str = "embedding",
+    rows: DataFrame, *, k: int = NEAREST, queries: str = "vec_id % 100 = 0", sample: int = SAMPLE, list_rows: int = LIST_ROWS, probe_recall: float = PROBE_RECALL, rerank: int = RERANK,
+    block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS, id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: of each row that ``queries`` picks, the ``k`` nearest found."""
     spark = rows.sparkSession
@@ -158,70 +185,83 @@ def nearest(
     if lengths is None:
         return spark.createDataFrame([], schema)
     dim, total = lengths["d"], lengths["count"]
-    valid = valid.where(F.size("v") == dim)
-    picked = valid.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow()
-    index = Index(_matrix(picked.column("v"), dim), max(1, min(MAX_LISTS, total // list_rows)))
-    lists = len(index.centres)
+    valid = valid.where(F.size("v") == dim).withColumn("key", F.xxhash64("v"))
+    picked = _matrix(valid.orderBy(F.xxhash64("vec_id"), "vec_id", "key").limit(sample).select("v").toArrow().column("v"), dim)
+    index = Index(picked, max(1, min(MAX_LISTS, total // list_rows)))
+    lists, pairs, rerank = len(index.centres), index.padded // 2, max(rerank, k)
+    visits = index.lists_to_visit(picked, k, probe_recall)
 
     def coded(batch: pa.RecordBatch):
         quiet_gc()
         x = _matrix(batch.column("v"), dim)
-        yield pa.RecordBatch.from_arrays([pa.array(index.lists_of(x).astype(np.int32)), batch.column("vec_id"), batch.column("v"), pa.array([c.tobytes() for c in index.encode(x)], pa.binary())], ["list", "vec_id", "v", "code"])
+        codes = [c.tobytes() for c in packed_codes(index.encode(x))]
+        yield pa.RecordBatch.from_arrays([pa.array(index.lists_of(x).astype(np.int32)), batch.column("vec_id"), batch.column("key"), pa.array((0.5 * (x * x).sum(1)).astype(np.float32)), pa.array(codes, pa.binary())], ["list", "vec_id", "key", "half", "code"])
 
-    stored = map_arrow(valid, coded, "list int, vec_id bigint, v array<double>, code binary")
+    stored = checkpointed(map_arrow(valid, coded, "list int, vec_id bigint, key bigint, half float, code binary"))
     counts = {r["list"]: r["count"] for r in stored.groupBy("list").count().collect()}  # a number for each list
-    blocks = np.array([-(-counts.get(i, 0) // BLOCK_ROWS) for i in range(lists)])
     held = np.array([counts.get(i, 0) for i in range(lists)])
-    block_of = F.pmod(F.xxhash64("vec_id"), F.element_at(F.array(*(F.lit(max(1, int(b))) for b in blocks)), F.col("list") + 1))
-    stored = stored.withColumn("block", block_of.cast("int"))
-    least = max(k + 1, min(total, list_rows * 4))
+    least = max(k + 1, min(total, 4 * list_rows))
 
     def probes(batch: pa.RecordBatch):
         q = _matrix(batch.column("v"), dim)
         order = np.argsort(_dist2(q, index.centres), axis=1, kind="stable")
         for i in range(len(q)):
             enough = np.searchsorted(np.cumsum(held[order[i]]), least) + 1
-            visit = order[i][: max(int(enough), int(np.ceil(probed * lists)))]
-            at = [(int(x), b) for x in visit for b in range(blocks[x])]
-            row = batch.slice(i, 1).take(pa.array([0] * len(at), pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in at], pa.int32()), pa.array([b for _, b in at], pa.int32()), row.column("vec_id"), row.column("v")], ["list", "block", "query_id", "q"])
+            visit = order[i][: max(int(enough), visits)]
+            visit = visit[held[visit] > 0]
+            row = batch.slice(i, 1).take(pa.array([0] * len(visit), pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(visit.astype(np.int32)), row.column("vec_id"), row.column("v")], ["list", "query_id", "q"])
 
     asking = valid.where(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
-    asked = map_arrow(asking, probes, "list int, block int, query_id bigint, q array<double>")
+    asked = map_arrow(asking, probes, "list int, query_id bigint, q array<double>")
+    asked_of = {r["list"]: r["count"] for r in asked.groupBy("list").count().collect()}  # a number for each list
+    if not asked_of:
+        return spark.createDataFrame([], schema)
+    number = lambda of, size: F.element_at(F.array(*(F.lit(max(1, -(-int(of.get(i, 0)) // size))) for i in range(lists))), F.col("list") + 1)
+    cells = stored.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), number(counts, block_rows)).cast("int"))
+    cells = cells.withColumn("asks", F.explode(F.sequence(F.lit(0), number(asked_of, query_rows) - 1)))
+    asked = asked.withColumn("asks", F.pmod(F.xxhash64("query_id"), number(asked_of, query_rows)).cast("int"))
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), number(counts, block_rows) - 1)))
 
     def search(group: tuple, data: pa.Table, ask: pa.Table) -> pa.Table:
         quiet_gc()
-        out: list[list[np.ndarray]] = [[], [], []]
+        out: list[list[np.ndarray]] = [[], [], [], []]
         if data.num_rows and ask.num_rows:
-            ids = data.column("vec_id").combine_chunks().to_numpy()
-            x = _matrix(data.column("v"), dim)
-            half = 0.5 * (x * x).sum(1)
-            codes = np.frombuffer(b"".join(data.column("code").to_pylist()), np.uint8).reshape(len(x), -1)
+            ids, keys, half = (data.column(c).combine_chunks().to_numpy() for c in ("vec_id", "key", "half"))
+            codes = np.frombuffer(b"".join(data.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
+            order = np.lexsort((keys, ids))  # equal rows once, and smaller ids first
+            ids, keys = ids[order], keys[order]
+            order = order[np.concatenate([[True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])])]
+            ids, keys, half = (data.column(c).combine_chunks().to_numpy()[order] for c in ("vec_id", "key", "half"))
+            codes = unpacked_codes(codes[order], pairs)
             query_ids, q_all = ask.column("query_id").combine_chunks().to_numpy(), _matrix(ask.column("q"), dim)
-            for at in range(0, len(q_all), 64):
-                q, qid = q_all[at : at + 64], query_ids[at : at + 64]
+            step = max(1, (1 << 24) // len(ids))
+            for at in range(0, len(q_all), step):
+                q, qid = q_all[at : at + step], query_ids[at : at + step]
                 far = half[None, :] - index.scan(q, codes)
                 far[qid[:, None] == ids[None, :]] = np.inf
-                n = min(len(x), max(rerank, len(x) // 16))
-                best = np.argpartition(far, n - 1, axis=1)[:, :n] if n < len(x) else np.broadcast_to(np.arange(len(x)), far.shape)
-                exact = np.zeros(best.shape)
-                for c in range(dim):  # in the order of the components: the plain sum
-                    step = q[:, c, None] - x[best, c]
-                    exact += step * step
-                exact = np.sqrt(exact)
+                n = min(len(ids), rerank)
+                edge = np.partition(far, n - 1, axis=1)[:, n - 1]
                 for i in range(len(q)):
-                    own = ids[best[i]] != qid[i]
-                    cand, dist = ids[best[i]][own], exact[i][own]
-                    top = np.lexsort((cand, dist))[:k]
-                    out[0].append(np.full(len(top), qid[i]))
-                    out[1].append(cand[top])
-                    out[2].append(dist[top])
+                    under = np.flatnonzero(far[i] < edge[i])
+                    if edge[i] < np.inf:
+                        under = np.concatenate([under, np.flatnonzero(far[i] == edge[i])[: n - len(under)]])
+                    for part, x in zip(out, (np.full(len(under), qid[i]), ids[under], keys[under], far[i][under])):
+                        part.append(x)
         join = lambda part, kind: np.concatenate(part).astype(kind) if part else np.zeros(0, kind)
-        return pa.table({"query_id": join(out[0], np.int64), "vec_id": join(out[1], np.int64), "score": join(out[2], np.float64)})
-
-    found = stored.groupBy("list", "block").cogroup(asked.groupBy("list", "block")).applyInArrow(search, "query_id bigint, vec_id bigint, score double")
+        return pa.table({c: join(part, kind) for c, part, kind in zip(("query_id", "vec_id", "key", "about"), out, (np.int64, np.int64, np.int64, np.float32))})
+
+    at = ("list", "block", "asks")
+    found = cells.groupBy(*at).cogroup(asked.groupBy(*at)).applyInArrow(search, "query_id bigint, vec_id bigint, key bigint, about float")
+    # equal rows may have been in several blocks
+    found = found.groupBy("query_id", "vec_id", "key").agg(F.min("about").alias("about"))
+    best = found.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy("about", "vec_id", "key"))).where(F.col("n") <= rerank).select("query_id", "vec_id", "key")
+    vectors = valid.groupBy("vec_id", "key").agg(F.first("v").alias("v"), F.count("*").alias("copies"))
+    near = best.join(vectors, ["vec_id", "key"]).join(asking.toDF("query_id", "q"), "query_id")
+    score = F.sqrt(F.aggregate(F.zip_with("q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda x, y: x + y))
+    near = near.select("query_id", "vec_id", score.alias("score"), F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k)).cast("int"))).alias("copy"))
     order = W.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE = """

@@ -10,6 +10,7 @@ import time
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -511,7 +512,7 @@ def test_nearest_recall_and_edges(spark):
     rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
     odd = [(5000, None, 0), (5100, [0.0] * 16, 0), (5200, [None] + [1.0] * 15, 0), (5300, [float("nan")] * 16, 0), (5400, [float("inf")] * 16, 0), (5500, [1.0, 2.0], 0), (None, [1.0] * 16, 0), (300, x[300].tolist(), 0)]
     schema = "vec_id bigint, embedding array<float>, rank int"
-    got = ann.nearest(spark.createDataFrame(rows + odd, schema), list_rows=200, probed=1.0).collect()
+    got = ann.nearest(spark.createDataFrame(rows + odd, schema), list_rows=200, block_rows=90, query_rows=4).collect()
     d = np.sqrt(((x[:, None].astype(np.float64) - x[None, ::100].astype(np.float64)) ** 2).sum(2))
     hits = 0
     for q in range(15):
@@ -523,11 +524,32 @@ def test_nearest_recall_and_edges(spark):
         assert all(abs(s - col[v]) < 1e-12 for _, v, s in mine if v != 300)
         hits += len({v for _, v, _ in mine} & set(want.tolist()))
     assert hits >= 0.9 * 150 and {g.query_id for g in got} == set(range(0, 1500, 100))
+    twins = [(i, [1.0, 0.0], 0) for i in range(1, 400)] + [(7, [1.0, 0.0], 0)] * 3 + [(0, [1.0, 0.1], 0)]  # more ties than are reranked
+    tied = sorted((g.rank, g.vec_id) for g in ann.nearest(spark.createDataFrame(twins, schema), rerank=20, block_rows=50).collect() if g.query_id == 0)
+    assert [v for _, v in tied] == [1, 2, 3, 4, 5, 6, 7, 7, 7, 7]
     few = ann.nearest(spark.createDataFrame([(0, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [2.0, 0.0], 0)], schema)).collect()
     assert [(g.rank, g.vec_id) for g in sorted(few, key=lambda g: g.rank)] == [(1, 2), (2, 1)] or [(g.rank, g.vec_id) for g in sorted(few, key=lambda g: g.rank)] == [(1, 2), (2, 1)]
     assert ann.nearest(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_nearest_recall_on_ten_thousand_vectors(spark):
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(40, 32))
+    for spread in (0.3, 3.0):  # clear clusters and none
+        x = (centres[r.integers(0, 40, 10_000)] + spread * r.normal(size=(10_000, 32))).astype(np.float32)
+        table = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)}))
+        got = ann.nearest(table, list_rows=500, sample=4000).collect()
+        if spread < 1:
+            assert ann.Index(x[:2000].astype(float), 24).lists_to_visit(x[:2000].astype(float), 10, 0.98) < 8
+        d = ((x[::100, None].astype(float) - x[None].astype(float)) ** 2).sum(2)
+        d[np.arange(len(d)), np.arange(0, len(x), 100)] = np.inf
+        want = np.argsort(d, axis=1)[:, :10]
+        hits = sum(g.vec_id in want[g.query_id // 100] for g in got)
+        assert len(got) == 1000 and hits >= 0.9 * 1000
+    codes = r.integers(0, 16, (50, 7)).astype(np.uint8)
+    assert (ann.unpacked_codes(ann.packed_codes(codes), 7) == codes).all()
+
+
 # -- 1: packing
 
 
