@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
-from decimal import Decimal, InvalidOperation
+from decimal import Context, Decimal, InvalidOperation
 
 import pandas as pd
 from pyspark.sql import Column
@@ -109,8 +109,9 @@ def date_spans(text: str | None, today: dt.date, locale: str) -> list[dict]:
 
 
 _SCALES = {"thousand": 10**3, "k": 10**3, "million": 10**6, "m": 10**6, "billion": 10**9, "bn": 10**9, "万": 10**4, "亿": 10**8, "千": 10**3, "百万": 10**6}
-_NUMBER = re.compile(r"^(?P<open>\()?\s*(?P<sign>[-+−])?\s*(?P<cur>[$€£¥]|USD|EUR|GBP|CNY)?\s*(?P<sign2>[-+−])?(?P<body>\d[\d,. ]*)\s*(?P<scale>thousand|million|billion|bn|k|m|万|亿|千|百万)?\s*(?P<pct>%)?\s*(?P<cur2>元|美元|dollars?|euros?)?\s*(?P<close>\))?$", re.I)
+_NUMBER = re.compile(r"^(?P<open>\()?\s*(?P<sign>[-+−])?\s*(?P<cur>[$€£¥]|USD|EUR|GBP|CNY)?\s*(?P<sign2>[-+−])?(?P<body>\d[\d,. ]*)(?P<exp>[eE][-+]?\d{1,3})?\s*(?P<scale>thousand|million|billion|bn|k|m|万|亿|千|百万)?\s*(?P<pct>%)?\s*(?P<cur2>元|美元|dollars?|euros?)?\s*(?P<close>\))?$", re.I)
 NUMERIC_BOUND = Decimal(10) ** 28
+_EXACT = Context(prec=60)
 
 
 def to_number(text: str | None, *, decimal: str = ".", group: str = ",", percent: str = "keep") -> Decimal | None:
@@ -132,16 +133,21 @@ def to_number(text: str | None, *, decimal: str = ".", group: str = ",", percent
         value = Decimal(f"{whole}.{rest or 0}")
     except InvalidOperation:
         return None
-    value *= _SCALES.get((m["scale"] or "").lower(), 1)
+    value = _EXACT.multiply(value, Decimal(_SCALES.get((m["scale"] or "").lower(), 1)))
+    if m["exp"]:
+        value = value.scaleb(int(m["exp"][1:]), context=_EXACT)
     if m["pct"]:
         if percent == "reject":
             return None
-        value = value / 100 if percent == "ratio" else value
+        value = value.scaleb(-2, context=_EXACT) if percent == "ratio" else value
     if m["open"] or "-" in (m["sign"] or "") + (m["sign2"] or "") or "−" in (m["sign"] or "") + (m["sign2"] or ""):
-        value = -value
-    if abs(value) >= NUMERIC_BOUND or value != value.quantize(Decimal(1).scaleb(-10)):
+        value = value.copy_negate()
+    if value and not -12 < value.adjusted() < 28:
         return None
-    return value
+    if value.copy_abs() >= NUMERIC_BOUND:
+        return None
+    exact = value.quantize(Decimal(1).scaleb(-10), context=_EXACT)
+    return value if exact == value else None
 
 
 def convert(text: str | None, kind: str, **options):
@@ -167,11 +173,16 @@ def number_column(text: Column, **options) -> Column:
     return run(text)
 
 
-_SCALAR = re.compile(r"[($€£¥]?\s?[-+−]?[$€£¥]?\d[\d,.]*\d%?\)?|\d%?")
+_FIGURE = (
+    r"(?:[-+−]\s?)?(?:(?:[$€£¥]|(?:USD|EUR|GBP|CNY)(?![A-Za-z]))\s?)?[-+−]?[0-9](?:[0-9,]*[0-9])?(?:\.[0-9]+)?(?:[eE][-+]?[0-9]{1,3})?"
+    r"(?:\s?(?:thousand|million|billion)(?![A-Za-z])|(?:bn|[kKmM])(?![A-Za-z])|\s?(?:百万|[万亿千]))?(?:\s?%)?(?:\s?(?:元|美元))?"
+)
+_SCALAR = re.compile(rf"(?i)(?<![A-Za-z0-9_.])(?:\({_FIGURE}\)|{_FIGURE})(?![0-9]|[.,][0-9])")
 
 
 def scalar_spans(text: str | None) -> list[dict]:
-    """Literal numbers and dates of a passage."""
+    """Literal numbers, with sign, currency, exponent, scale and accounting parentheses, and dates of a
+    passage. Digits within a word, a version or an ungrouped run of points aren't numbers."""
     text = text or ""
     dates = [(d["start"], d["end"]) for d in date_spans(text, dt.date(1970, 1, 1), "en-US")]
     spans = dates + [m.span() for m in _SCALAR.finditer(text) if not any(s < m.end() and m.start() < e for s, e in dates)]

@@ -9,13 +9,16 @@ exact conjuncts, written before it, let through. It works wherever an expression
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quorvia.decision import proposition
 from quorvia.functions.dialect import ALLOWED, SHIMS, split_arguments
+from quorvia.judge import judge
 
 #: Words of the language that a parenthesis may follow.
 _WORDS = frozenset("select from where on in as over and or not when then else between like filter group by having order union intersect except all distinct with values using exists any some partition rows range within limit offset join interval case end is recursive grouping sets rollup cube lateral desc asc decimal numeric varchar char unbounded preceding following".split())
@@ -29,8 +32,41 @@ class SqlError(ValueError):
 
 
 def masked(text: str) -> str:
-    """The text with strings, quoted names and comments blanked, of the same length."""
-    return re.sub(r"'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", lambda m: " " * len(m.group()), text, flags=re.S)
+    """The text with strings, quoted names and comments blanked, of the same length, as Spark's lexer
+    takes them: backslashes escape in strings but in raw ones, and bracketed comments nest. What doesn't
+    end, and hints, are refused."""
+    out, at, n = list(text), 0, len(text)
+    while at < n:
+        c, begin = text[at], at
+        if c in "'\"":
+            raw = at > 0 and text[at - 1] in "rR" and not (at > 1 and (text[at - 2].isalnum() or text[at - 2] == "_"))
+            at += 1
+            while at < n and text[at] != c:
+                at += 1 if raw or text[at] != "\\" else 2
+            at += 1
+        elif c == "`":
+            at = text.find("`", at + 1) + 1 or n + 1
+        elif text.startswith("--", at):
+            while at < n and text[at] not in "\r\n":
+                at += 2 if text.startswith("\\\n", at) else 1
+        elif text.startswith("/*", at):
+            if text.startswith("/*+", at):
+                raise SqlError("no hints")
+            depth = 0
+            while at < n:
+                step = text[at : at + 2]
+                depth += {"/*": 1, "*/": -1}.get(step, 0)
+                at += 2 if step in ("/*", "*/") else 1
+                if not depth:
+                    break
+            at += n if depth else 0
+        else:
+            at += 1
+            continue
+        if at > n:
+            raise SqlError("a quoted text or comment that doesn't end")
+        out[begin:at] = " " * (at - begin)
+    return "".join(out)
 
 
 def guard(text: str, extra: frozenset[str] = frozenset()) -> None:
@@ -78,28 +114,119 @@ def rewrite_calls(text: str, rules: dict[str, Callable[[list[str]], str]]) -> st
         at = m.start()
 
 
+_STOPS = frozenset("select where and or not on when then else case having by as in from between like is distinct all any some union intersect except limit with exists qualify using".split())
+_QUANTIFIED = re.compile(r"(?i)(>=|<=|<>|!=|=|>|<)\s*(any|some|all)\s*\(\s*(?=select\b|with\b)")
+
+
+def _left_operand(bare: str, end: int) -> int:
+    """Where the expression that ends there begins."""
+    at = end
+    while at > 0:
+        c = bare[at - 1]
+        if c == ")":
+            depth = 0
+            while at > 0:
+                at -= 1
+                depth += {")": 1, "(": -1}.get(bare[at], 0)
+                if depth == 0:
+                    break
+        elif c in "(,;" or c in "=<>!":
+            break
+        elif m := re.search(r"[A-Za-z_]\w*$", bare[:at]):
+            if m.group().lower() in _STOPS:
+                break
+            at = m.start()
+        else:
+            at -= 1
+    while at < end and bare[at].isspace():
+        at += 1
+    return at
+
+
 def any_all(text: str) -> str:
-    """``x = ANY (query)`` as IN, ``<> ALL`` as NOT IN, other comparisons by the extreme of the query."""
-    text = re.sub(r"(?i)=\s*(?:any|some)\s*\(\s*(?=select)", " IN (", text)
-    text = re.sub(r"(?i)<>\s*all\s*\(\s*(?=select)", " NOT IN (", text)
-    extreme = {(">", "any"): "min", (">=", "any"): "min", ("<", "any"): "max", ("<=", "any"): "max", (">", "all"): "max", (">=", "all"): "max", ("<", "all"): "min", ("<=", "all"): "min"}
-    return re.sub(r"(?i)(>=|<=|>|<)\s*(any|all)\s*\(\s*select\s+([\w.]+)\s+from", lambda m: f"{m[1]} (SELECT {extreme[m[1], m[2].lower()]}({m[3]}) FROM", text)
+    """Comparisons with ANY or ALL of a subquery by its extremes and counts, in three-valued logic: over
+    no rows ANY is false and ALL true, and nulls leave open what the other rows don't decide."""
+    while True:
+        bare = masked(text)
+        found = list(_QUANTIFIED.finditer(bare))
+        if not found:
+            return text
+        m = found[-1]
+        op, kind = m[1].replace("!=", "<>"), "all" if m[2].lower() == "all" else "any"
+        open_at = bare.index("(", m.start())
+        depth, close = 0, open_at
+        while close < len(bare):
+            depth += {"(": 1, ")": -1}.get(bare[close], 0)
+            if depth == 0:
+                break
+            close += 1
+        begin = _left_operand(bare, m.start())
+        x, query = text[begin : m.start()].strip(), text[open_at + 1 : close].strip()
+        of = lambda what: f"(SELECT {what} FROM ({query}) _q(_c))"  # noqa: E731,B023
+        low, high, rows, known = of("min(_c)"), of("max(_c)"), of("count(*)"), of("count(_c)")
+        some = {"=": f"({x}) IN ({query})", "<>": f"(({x}) <> {low} OR ({x}) <> {high})", ">": f"({x}) > {low}", ">=": f"({x}) >= {low}", "<": f"({x}) < {high}", "<=": f"({x}) <= {high}"}
+        no = {"=": f"(({x}) <> {low} OR ({x}) <> {high})", "<>": f"({x}) IN ({query})", ">": f"({x}) <= {high}", ">=": f"({x}) < {high}", "<": f"({x}) >= {low}", "<=": f"({x}) > {low}"}
+        decided, otherwise = (some[op], "false") if kind == "any" else (no[op], "true")
+        out = f"(CASE WHEN {rows} = 0 THEN {otherwise} WHEN {decided} THEN {'true' if kind == 'any' else 'false'} WHEN {known} < {rows} OR ({x}) IS NULL THEN NULL ELSE {otherwise} END)"
+        if (op, kind) == ("=", "any"):
+            out = f"({x} IN ({query}))"
+        elif (op, kind) == ("<>", "all"):
+            out = f"({x} NOT IN ({query}))"
+        text = text[:begin] + " " + out + text[close + 1 :]
 
 
 class Semantics:
     """Definitions by text and features by name, each an SQL expression over ``{col}``.
 
-    A definition's expression is a probability; a feature's may be of any type (``kind``)."""
+    A definition's expression is a probability; a feature's may be of any type (``kind``). A definition
+    in ``evaluators`` is judged by an evaluator of any kind, with saved answers and limits as ``judge``
+    takes them, over the rows of the table that the column is of; its decisions stand in columns of that
+    table, ``judged`` by column and definition, before the statement runs."""
 
-    def __init__(self, definitions: dict[str, str] | None = None, features: dict[str, tuple[str, str]] | None = None, accept: float = 0.8, reject: float = 0.2):
+    def __init__(
+        self, definitions: dict[str, str] | None = None, features: dict[str, tuple[str, str]] | None = None, accept: float = 0.8, reject: float = 0.2,
+        evaluators: dict[str, object] | None = None, options: dict | None = None,
+    ):
         self.definitions, self.features, self.accept, self.reject = definitions or {}, features or {}, accept, reject
-
-    def predicate(self, a: list[str]) -> str:
-        definition = a[1].strip()[1:-1].replace("''", "'")
+        self.evaluators, self.options = evaluators or {}, options or {}
+
+    @staticmethod
+    def definition(a: list[str]) -> str:
+        return a[1].strip()[1:-1].replace("''", "'")
+
+    def predicate(self, a: list[str], whole: bool = False) -> str:
+        """``whole``: a decision that stays open stops the statement."""
+        definition = self.definition(a)
+        rest = f" ELSE CAST(raise_error('unresolved semantic decision under a subquery, EXISTS or outer join: {definition.replace(chr(39), '').replace(chr(92), '')}') AS BOOLEAN)" if whole else ""
+        if definition in self.evaluators:
+            prefix, _, column = a[0].strip().rpartition(".")
+            held = f"{prefix}{'.' if prefix else ''}{self.column(column, definition)}"
+            return f"(CASE WHEN {a[0]} IS NULL THEN NULL WHEN {held} IS NOT NULL THEN {held}{rest} END)"
         if definition not in self.definitions:
             raise SqlError(f"no definition {definition!r}")
         p = "(" + self.definitions[definition].replace("{col}", a[0]) + ")"
-        return f"(CASE WHEN {a[0]} IS NULL THEN NULL WHEN {p} >= {self.accept} THEN true WHEN {p} <= {self.reject} THEN false END)"
+        return f"(CASE WHEN {a[0]} IS NULL THEN NULL WHEN {p} >= {self.accept} THEN true WHEN {p} <= {self.reject} THEN false{rest} END)"
+
+    @staticmethod
+    def column(column: str, definition: str) -> str:
+        return f"_semantic_{hashlib.sha256(f'{column.lower()}:{definition}'.encode()).hexdigest()[:12]}"
+
+    def judged(self, text: str, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """The tables, with the decisions that the statement asks an evaluator for."""
+        asked: list[tuple[str, str]] = []
+        rewrite_calls(text, {"semantic": lambda a: asked.append((a[0].strip().rpartition(".")[2], self.definition(a))) or "true"})
+        out = dict(tables)
+        for column, definition in dict.fromkeys(asked):
+            if definition not in self.evaluators:
+                continue
+            owners = [t for t, df in tables.items() if column.lower() in (c.lower() for c in df.columns)]
+            if not owners:
+                raise SqlError(f"no table given has the column {column}")
+            for t in owners:
+                held = self.column(column, definition)
+                decided = judge(out[t], {held: proposition(definition)}, self.evaluators[definition], needed=F.col(column).isNotNull(), **self.options)
+                out[t] = decided.withColumn(held, F.col(f"{held}.value_bool"))
+        return out
 
     def feature(self, a: list[str]) -> str:
         name = a[1].strip()[1:-1]
@@ -112,10 +239,19 @@ class Semantics:
         return "(" + expr.replace("{col}", a[0]) + ")"
 
 
-def check_partial(text: str, complete: bool) -> None:
-    """An unresolved predicate beside a subquery, EXISTS or outer join could change the answer silently."""
+def needs_whole(text: str) -> bool:
+    """Whether an unresolved predicate could change the answer silently: there is a subquery, EXISTS or
+    outer join beside it. A common table isn't a subquery."""
     bare = masked(text).lower()
-    if not complete and re.search(r"\bsemantic\s*\(", bare) and (bare.count("select") > 1 or re.search(r"\bexists\b|\b(left|right|full)\s+(outer\s+)?join\b", bare)):
+    if not re.search(r"\bsemantic\s*\(", bare):
+        return False
+    nested = re.sub(r"\bas\s*\(\s*(?=select|with)", "as ", bare)
+    return bool(re.search(r"\(\s*(?:select|with)\b|\bexists\b|\b(?:left|right|full)\s+(?:outer\s+)?join\b", nested))
+
+
+def check_partial(text: str, complete: bool) -> None:
+    """The rule as a check of a statement whose decisions are known to be whole or not."""
+    if not complete and needs_whole(text):
         raise SqlError("unresolved semantic decisions under a subquery, EXISTS or outer join")
 
 
@@ -133,17 +269,33 @@ def check_lineage(text: str) -> None:
 def prepare(text: str, semantics: Semantics | None = None) -> str:
     guard(text)
     check_lineage(text)
+    whole = needs_whole(text)
     out = any_all(text)
     if semantics:
-        out = rewrite_calls(out, {"semantic": semantics.predicate, "semantic_feature": semantics.feature})
+        out = rewrite_calls(out, {"semantic": lambda a: semantics.predicate(a, whole), "semantic_feature": semantics.feature})
     return rewrite_calls(out, SHIMS).strip().rstrip(";")
 
 
+def check_parsed(spark: SparkSession, text: str) -> None:
+    """No function in the parsed statement that the guard, which reads the text, didn't see."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text).toString()
+    seen = set(re.findall(r"\w+", masked(text).lower()))  # some operators are functions to the parser
+    hidden = {m.group(1).lower() for m in re.finditer(r"'(\w+)\(", plan)} - seen
+    if hidden:
+        raise SqlError(f"the function {min(hidden)} isn't allowed")
+
+
 def run_sql(spark: SparkSession, text: str, semantics: Semantics | None = None, tables: dict[str, DataFrame] | None = None) -> DataFrame:
-    """The result of a guarded statement over views, or over given tables."""
+    """The result of a guarded statement over views, or over given tables. Under a subquery, EXISTS or
+    outer join a semantic decision that stays open stops it."""
+    ready = prepare(text, semantics)
+    check_parsed(spark, ready)
+    if semantics and semantics.evaluators:
+        tables = semantics.judged(text, tables or {})
     for name, df in (tables or {}).items():
         df.createOrReplaceTempView(name)
-    return spark.sql(prepare(text, semantics))
+    out = spark.sql(ready)
+    return out.drop(*(c for c in out.columns if c.startswith("_semantic_")))
 
 
 # -- changes

@@ -30,14 +30,16 @@ class Jobs:
             self._jobs[key] = job
 
         def run() -> None:
-            self.spark.addTag(job["tag"])
+            context = self.spark.sparkContext
+            context.addJobTag(job["tag"])
+            context.setInterruptOnCancel(True)
             try:
                 got = fn(self.spark)
                 self._end(job, "SUCCEEDED", result=got)
             except Exception as error:  # noqa: BLE001 - it is the job's outcome
                 self._end(job, "FAILED", error=str(error)[:500])
             finally:
-                self.spark.removeTag(job["tag"])
+                context.removeJobTag(job["tag"])
 
         InheritableThread(target=run, daemon=True).start()
         if seconds is not None:
@@ -58,7 +60,7 @@ class Jobs:
             if job["state"] != "RUNNING":
                 return
             job["state"] = state
-        self.spark.interruptTag(job["tag"])
+        self.spark.sparkContext.cancelJobsWithTag(job["tag"])
 
     def state(self, key: str) -> str:
         return self._jobs[key]["state"]

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quorvia.decision import RAW_TYPE, Limits, Policy, Question, missing, resolve
 from quorvia.evaluators import ColumnEvaluator, PythonEvaluator, TableEvaluator
@@ -82,14 +83,33 @@ def answer_contexts(work: DataFrame, question: Question, evaluator: PythonEvalua
 
 
 def bundled(work: DataFrame, group: list[str], limits: Limits, payload: Column) -> DataFrame:
-    """With ``bundle`` numbers within each group, of at most ``batch`` items and ``request_bytes``, and
-    ``too_large`` for items over ``item_bytes``, which no bundle takes."""
-    size = F.octet_length(payload) + 32
-    rows = work.withColumn("_size", size).withColumn("too_large", size > limits.item_bytes)
-    w = W.partitionBy(*group, "too_large").orderBy("context_key")
-    rows = rows.withColumn("_n", F.row_number().over(w) - 1).withColumn("_sum", F.sum("_size").over(w.rowsBetween(W.unboundedPreceding, 0)) - F.col("_size"))
-    bundle = F.greatest(F.floor(F.col("_n") / limits.batch), F.floor(F.col("_sum") / limits.request_bytes))
-    return rows.withColumn("bundle", F.when(~F.col("too_large"), bundle)).drop("_size", "_n", "_sum")
+    """With ``bundle`` numbers within each group, filled in the order of the context key: an item that
+    would be one over ``batch`` items or pass ``request_bytes`` begins the next bundle. ``too_large`` for
+    items over ``item_bytes``, which no bundle takes. The rows of a group stream through one task, which
+    keeps two numbers of them."""
+    size = (F.octet_length(payload) + 32).cast("bigint")
+    rows = work.withColumns({"too_large": F.coalesce(size > limits.item_bytes, F.lit(False)), "_size": F.coalesce(size, F.lit(32)), "_group": F.to_json(F.struct(*group), {"ignoreNullFields": "false"})})
+    rows = rows.repartition("_group").sortWithinPartitions("_group", "too_large", "context_key")
+    names = [c for c in rows.columns if c not in ("_size", "_group")]
+    most, room = limits.batch, limits.request_bytes
+
+    def run(batches):
+        last, bundle, items, total = None, 0, 0, 0
+        for batch in batches:
+            out = []
+            for g, large, s in zip(*(batch.column(c).to_pylist() for c in ("_group", "too_large", "_size"))):
+                if g != last:
+                    last, bundle, items, total = g, 0, 0, 0
+                if large:
+                    out.append(None)
+                    continue
+                if items and (items >= most or total + s > room):
+                    bundle, items, total = bundle + 1, 0, 0
+                items, total = items + 1, total + s
+                out.append(bundle)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.int64())], [*names, "bundle"])
+
+    return rows.mapInArrow(run, T.StructType([*(rows.schema[c] for c in names), T.StructField("bundle", T.LongType())]))
 
 
 def admitted(work: DataFrame, limits: Limits) -> DataFrame:

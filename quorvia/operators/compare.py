@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quorvia.decision import VALUE, Policy, choice_of, proposition, score_on
 from quorvia.judge import judge
+from quorvia.ordering import running_sum
 
 
 def compare(pairs: DataFrame, criterion: str, evaluator, *, policy: Policy = Policy(), name: str = "verdict") -> DataFrame:
@@ -17,19 +17,17 @@ def compare(pairs: DataFrame, criterion: str, evaluator, *, policy: Policy = Pol
 
 def rank(subjects: DataFrame, criterion: str, evaluator, *, id_col: str, levels: int | None = None, top_k: int | None = None, policy: Policy = Policy()) -> DataFrame:
     """Competition ranks of resolved rows by their rating: the probability of a proposition, or a
-    score. ``top_k`` keeps ties. The k best are taken by a distributed sort with a limit first, so no
-    single task ranks the population when k is given."""
+    score. ``top_k`` keeps ties. The k best are taken by a distributed sort with a limit first."""
     q = proposition(criterion) if levels is None else score_on(criterion, levels)
     judged = judge(subjects, {"decision": q}, evaluator, policy=policy).where(F.col("decision.output_state") == VALUE)
     rated = judged.withColumn("rating", F.col("decision.p_true") if levels is None else F.col("decision.value_num"))
     if top_k is not None:
         worst = rated.select("rating").orderBy(F.desc("rating")).limit(top_k).agg(F.min("rating").alias("_least"))
         rated = rated.join(F.broadcast(worst), F.col("rating") >= F.col("_least")).drop("_least")  # one row
-        return rated.withColumn("rank", F.rank().over(W.orderBy(F.desc("rating")))).where(F.col("rank") <= top_k).orderBy(F.desc("rating"), id_col)
-    # ranks of all: counts by rating are summed up, rows only join theirs
-    counts = rated.groupBy("rating").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("rank", F.coalesce(F.sum("_n").over(W.orderBy(F.desc("rating")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + 1)
-    return rated.join(before.drop("_n"), "rating").orderBy(F.desc("rating"), id_col)
+    # counts by rating are summed up, at most k of them with k; rows only join theirs, so ties may be many
+    counts = rated.groupBy("rating").agg(F.count("*").alias("_n")).withColumn("_down", -F.col("rating"))
+    upto = running_sum(counts, ["_down"], "_n", "_upto").select("rating", (F.col("_upto") - F.col("_n") + 1).alias("rank"))
+    return rated.join(upto, "rating").orderBy(F.desc("rating"), id_col)
 
 
 def rerank(query: str, candidates: DataFrame, criterion: str, evaluator, *, id_col: str, top_k: int = 10, policy: Policy = Policy()) -> DataFrame:

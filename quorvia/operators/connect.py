@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quorvia.decision import Policy, choice_of, proposition, stance
+from quorvia.decision import Policy, choice_of, proposition, stance, missing
 from quorvia.judge import judge
 
 
@@ -68,9 +68,12 @@ def align(pairs: DataFrame, identity: str, fields: list[str], evaluator, *, poli
     return judged.withColumn("fields", F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"field_{f}.value_text").alias("consistency")) for f in fields)))
 
 
-def relate(pairs: DataFrame, support: str, opposition: str, evaluator, *, policy: Policy = Policy()) -> DataFrame:
-    """Directed stance of each pair."""
-    judged = judge(pairs, {"support": proposition(support), "opposition": proposition(opposition)}, evaluator, policy=policy)
+def relate(pairs: DataFrame, support: str, opposition: str, evaluator, *, policy: Policy = Policy(), refused: Column | None = None) -> DataFrame:
+    """Directed stance of each pair. Pairs that are ``refused`` aren't judged and say so."""
+    judged = judge(pairs, {"support": proposition(support), "opposition": proposition(opposition)}, evaluator, policy=policy, needed=None if refused is None else ~refused)
+    if refused is not None:
+        for name in ("support", "opposition"):
+            judged = judged.withColumn(name, F.when(refused, missing("BLOCKED_BY_POLICY")).otherwise(F.col(name)))
     return judged.withColumn("stance", stance(F.col("support"), F.col("opposition")))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quorvia.decision import Policy, choice_of, make_decision, missing, proposition
+from quorvia.ordering import BUCKET_ROWS, running_sum
 from quorvia.judge import judge
 
 
@@ -203,13 +204,7 @@ def explain_plan(work: DataFrame, context: list[str], question_key: str, evaluat
     return estimate(n, int(size), **prices)
 
 
-def budget_states(work: DataFrame, *, cost: str, limit: int, order_by: list[str]) -> DataFrame:
-    """``operation_state`` of each row when costs are reserved in order until the limit is reached.
-    Costs are summed by a bucket of the order first, so no one task sees all rows."""
-    buckets = 256
-    rows = work.withColumn("_b", F.pmod(F.xxhash64(*order_by), F.lit(buckets)))
-    sums = rows.groupBy("_b").agg(F.sum(cost).alias("_s"))
-    before = sums.withColumn("_before", F.coalesce(F.sum("_s").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_s")
-    within = F.sum(cost).over(W.partitionBy("_b").orderBy(*order_by).rowsBetween(W.unboundedPreceding, 0))
-    out = rows.withColumn("_in", within).join(F.broadcast(before), "_b")  # 256 rows
-    return out.withColumn("operation_state", F.when(F.col("_before") + F.col("_in") <= limit, "SUCCEEDED").otherwise("BLOCKED_BY_BUDGET")).drop("_b", "_in", "_before")
+def budget_states(work: DataFrame, *, cost: str, limit: int, order_by: list[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``operation_state`` of each row when costs are reserved in order until the limit is reached."""
+    out = running_sum(work, order_by, cost, "_spent", bucket_rows=bucket_rows)
+    return out.withColumn("operation_state", F.when(F.col("_spent") <= limit, "SUCCEEDED").otherwise("BLOCKED_BY_BUDGET")).drop("_spent")

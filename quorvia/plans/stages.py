@@ -153,11 +153,7 @@ class StageDag:
                 df = s.frame.withColumn(column, F.sha2(F.to_json(F.struct(*s.keys[0]), {"ignoreNullFields": "false"}), 256))
                 f = Field("text", False, "identifier")
             else:
-                df = s.frame.withColumn(column, F.monotonically_increasing_id())
-                if s.frame.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-                    df = df.checkpoint()
-                else:
-                    raise TermError("a row identity without a key needs spark.checkpoint.dir")
+                df = checkpointed(s.frame.withColumn(column, F.monotonically_increasing_id()))
                 f = Field("integer", False, "identifier")
             return Stage("", df, s.fields | {column: f}, s.grain, (*s.keys, (column,)))
 

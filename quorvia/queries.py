@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -147,13 +148,12 @@ def coverage(spark, d):
     return _ab(spark, d).agg(*coverage_columns(col("a")))
 
 
-@query("SELECT 'UNKNOWN' AS output_state, 'SKIPPED' AS operation_state")
+@query(f"""SELECT o_orderpriority, CASE WHEN count(*) FILTER (NOT open) < count(*) THEN 'UNKNOWN' ELSE 'VALUE' END AS output_state, CASE WHEN count(*) FILTER (open AND o_totalprice <= 100000) > 0 THEN 'SKIPPED' ELSE 'SUCCEEDED' END AS operation_state
+FROM (SELECT *, o_totalprice <= 100000 OR ({V(P_SQL)}) IS NULL AS open FROM orders WHERE o_totalprice > 400000 OR o_totalprice <= 100000 AND o_orderpriority IN ('1-URGENT', '2-HIGH')) GROUP BY 1""")
 def run_state(spark, d):
-    return row_guarded(spark, d).agg(*run_state_columns(col("x")))
-
-
-def row_guarded(spark, d):
-    return judge(Tables(spark, d).orders, {"x": proposition("the order is expensive")}, EXPENSIVE, needed=col("o_orderstatus") == "F")
+    rows = Tables(spark, d).orders.where("o_totalprice > 400000 or o_totalprice <= 100000 and o_orderpriority in ('1-URGENT', '2-HIGH')")
+    judged = judge(rows, {"x": proposition("the order is expensive")}, EXPENSIVE, needed=col("o_totalprice") > 100000)
+    return judged.groupBy("o_orderpriority").agg(*run_state_columns(col("x")))
 
 
 @query(f"SELECT o_orderkey, CASE WHEN a IS NULL OR b IS NULL THEN NULL WHEN a AND b THEN 'conflict' WHEN a THEN 'support' WHEN b THEN 'opposition' ELSE 'insufficient' END AS s FROM (SELECT o_orderkey, {V(P_SQL)} AS a, {V(R_SQL)} AS b FROM orders)")
@@ -181,18 +181,22 @@ def require_bool_values(spark, d):
     return _ab(spark, d).where("a.output_state = 'VALUE'").select("o_orderkey", require_bool(col("a")).alias("v"))
 
 
-@query("SELECT count(*) AS eligible, true AS within FROM orders")
+@query("SELECT o_orderkey, CASE WHEN sum(o_orderkey % 7 + 1) OVER (ORDER BY o_orderdate, o_orderkey) <= 2000 THEN 'SUCCEEDED' ELSE 'BLOCKED_BY_BUDGET' END AS operation_state FROM orders")
 def budget_reservation(spark, d):
-    work = Tables(spark, d).orders.select("o_orderkey", (col("o_orderkey") % 7 + 1).alias("cost"))
-    out = control.budget_states(work, cost="cost", limit=2000, order_by=["o_orderkey"])
-    spent = F.sum(F.when(col("operation_state") == "SUCCEEDED", col("cost")))
-    return out.agg(F.count("*").alias("eligible"), spent.between(1990, 2000).alias("within"))
+    work = Tables(spark, d).orders.select("o_orderkey", "o_orderdate", (col("o_orderkey") % 7 + 1).alias("cost"))
+    return control.budget_states(work, cost="cost", limit=2000, order_by=["o_orderdate", "o_orderkey"]).select("o_orderkey", "operation_state")
 
 
-@query("SELECT o_orderpriority, ((row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1) // 32)::BIGINT AS bundle, o_orderkey FROM orders")
+@query("""WITH RECURSIVE r AS (SELECT o_orderpriority AS g, o_orderkey AS k, s, s > 32000 AS large, row_number() OVER (PARTITION BY o_orderpriority, s > 32000 ORDER BY o_orderkey) AS n
+  FROM (SELECT *, 32 + CASE WHEN o_orderkey % 50 = 7 THEN 40000 WHEN o_orderkey % 10 = 3 THEN 20000 + o_orderkey % 9000 ELSE 10 + o_orderkey % 300 END AS s FROM orders)),
+w AS (SELECT g, k, n, 0::BIGINT AS bundle, 1 AS items, s::BIGINT AS total FROM r WHERE n = 1 AND NOT large UNION ALL
+  SELECT r.g, r.k, r.n, CASE WHEN items >= 32 OR total + s > 64000 THEN bundle + 1 ELSE bundle END, CASE WHEN items >= 32 OR total + s > 64000 THEN 1 ELSE items + 1 END, CASE WHEN items >= 32 OR total + s > 64000 THEN s ELSE total + s END
+  FROM w JOIN r ON r.g = w.g AND r.n = w.n + 1 AND NOT r.large)
+SELECT g AS o_orderpriority, k AS o_orderkey, bundle, false AS too_large FROM w UNION ALL SELECT g, k, NULL, true FROM r WHERE large""")
 def request_packing(spark, d):
-    work = Tables(spark, d).orders.select("o_orderpriority", "o_orderkey", col("o_orderkey").alias("context_key"))
-    return bundled(work, ["o_orderpriority"], Limits(), col("o_orderpriority")).select("o_orderpriority", "bundle", "o_orderkey")
+    size = F.when(col("o_orderkey") % 50 == 7, 40000).when(col("o_orderkey") % 10 == 3, 20000 + col("o_orderkey") % 9000).otherwise(10 + col("o_orderkey") % 300)
+    work = Tables(spark, d).orders.select("o_orderpriority", "o_orderkey", col("o_orderkey").alias("context_key"), F.repeat(lit("x"), size.cast("int")).alias("payload"))
+    return bundled(work, ["o_orderpriority"], Limits(), col("payload")).select("o_orderpriority", "bundle", "o_orderkey", "too_large")
 
 
 @query("SELECT user_id, max(event_id) AS event_id, 'k' AS question_key FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type <> 'error') WHERE n = 1 GROUP BY user_id")
@@ -203,9 +207,17 @@ def observation_latest(spark, d):
     return latest_observations(rows, bad).select(col("context_key").alias("user_id"), col("observation_id").alias("event_id"), "question_key")
 
 
-@query("SELECT count(*) AS n_rows FROM orders")
+@query("SELECT count(*) AS n_rows, true AS same_in_any_order, true AS changed_by_a_value, true AS changed_by_a_copy FROM orders")
 def population_fingerprint(spark, d):
-    return typed.population_hash(Tables(spark, d).orders).select("n_rows")
+    o = Tables(spark, d).orders
+    last = o.agg({"o_orderkey": "max"}).first()[0]
+    same = lambda df, n: typed.population_hash(df).select(*(col(c).alias(f"{c}_{n}") for c in ("n_rows", "hash", "sum")))
+    others = {"order": o.repartition(7, "o_custkey"), "value": o.withColumn("o_totalprice", F.when(col("o_orderkey") == last, col("o_totalprice") + 0.01).otherwise(col("o_totalprice"))), "copy": o.unionByName(o.where(col("o_orderkey") == last))}
+    out = typed.population_hash(o)
+    for n, df in others.items():
+        out = out.crossJoin(F.broadcast(same(df, n)))  # one row each
+    equal = lambda n: (col("hash") == col(f"hash_{n}")) & (col("sum") == col(f"sum_{n}")) & (col("n_rows") == col(f"n_rows_{n}"))
+    return out.select("n_rows", equal("order").alias("same_in_any_order"), (~equal("value")).alias("changed_by_a_value"), (~equal("copy")).alias("changed_by_a_copy"))
 
 
 @query("SELECT c_custkey, c_nationkey FROM customer")
@@ -470,10 +482,14 @@ def state_scan(spark, d):
     return control.state_scan(Tables(spark, d).conversations, ["open", "closed"], "closed", e, sequence="conv_id", order_col="turn").select("conv_id", "n_blocks", "final_state")
 
 
-@query(f"SELECT count(*) >= 5 AS settled FROM orders WHERE {P_SQL} >= 0.8")
+@query(f"SELECT target, n >= target AS settled, n < target AS open_to_the_end FROM (SELECT count(*) AS n FROM orders WHERE {P_SQL} >= 0.8), (SELECT unnest([5, 1000000000]) AS target)")
 def resolve_count(spark, d):
-    out = control.resolve_objective(Tables(spark, d).orders, "the order is expensive", EXPENSIVE, order_by=["o_orderkey"], objective="count_at_least", target=5, wave=64)
-    return spark.createDataFrame([(out["settled"],)], "settled boolean")
+    o = Tables(spark, d).orders
+    rows = []
+    for target, wave in ((5, 64), (1_000_000_000, 100_000)):
+        out = control.resolve_objective(o, "the order is expensive", EXPENSIVE, order_by=["o_orderkey"], objective="count_at_least", target=target, wave=wave)
+        rows.append((target, bool(out["settled"]), not out["settled"]))
+    return spark.createDataFrame(rows, "target int, settled boolean, open_to_the_end boolean")
 
 
 @query(f"SELECT o_orderkey, {V(P_SQL)} AS a, CASE WHEN {P_SQL} >= 0.8 THEN {V(R_SQL)} END AS b, CASE WHEN {P_SQL} >= 0.8 THEN 'SUCCEEDED' WHEN {P_SQL} <= 0.2 THEN 'SKIPPED' ELSE 'BLOCKED_BY_DEPENDENCY' END AS b_state FROM orders")
@@ -495,11 +511,13 @@ def explain_plan(spark, d):
     return spark.createDataFrame([(out["judgments"], out["requests"])], "judgments bigint, requests bigint")
 
 
-@query("SELECT conv_id, count(*) AS n_lines FROM conversations GROUP BY 1")
+@query("""SELECT conv_id, block, n_lines, n_chars, label FROM (SELECT conv_id, block, count(*) AS n_lines, sum(length(text)) + count(*) - 1 AS n_chars, CASE WHEN sum(length(text)) + count(*) - 1 > 200 THEN 'long' ELSE 'short' END AS label
+ FROM (SELECT *, sum(CASE WHEN p IS NOT NULL AND length(p) <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS block FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations)) GROUP BY conv_id, block)""")
 def structure(spark, d):
     rows = Tables(spark, d).conversations
-    e = ColumnEvaluator({"topic changes": lit(0.1), "block type": one_hot(lit("talk"), ("talk", "unknown"))})
-    return extract.structure(rows, "topic changes", ("talk",), e, doc_col="conv_id", order_col="turn", text_col="text").select("conv_id", "n_lines")
+    e = ColumnEvaluator({"topic changes": F.when(F.length("previous") > 100, 0.9).otherwise(0.1), "block type": one_hot(F.when(F.length("text") > 200, "long").otherwise("short"), ("long", "short", "unknown"))})
+    out = extract.structure(rows, "topic changes", ("long", "short"), e, doc_col="conv_id", order_col="turn", text_col="text")
+    return out.select("conv_id", "block", "n_lines", F.length("text").cast("bigint").alias("n_chars"), col("label.value_text").alias("label"))
 
 
 # -- extract
@@ -607,11 +625,12 @@ def stage_latest(spark, d):
     return dag.latest(o, ["o_custkey"], [["o_orderdate", "desc"], ["o_orderkey", "asc"]]).frame.select("o_custkey", "o_orderkey", "o_totalprice")
 
 
-@query("SELECT count(*) AS n FROM orders")
+@query("SELECT o_orderstatus, count(*) AS n, count(*) AS n_rows FROM (SELECT o_orderkey, o_orderstatus FROM orders UNION ALL SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F') GROUP BY 1")
 def stage_row_identity(spark, d):
-    dag, o, _ = _dag(spark, d)
-    r = dag.row_identity(o, "row")
-    return dag.aggregate(r, [], {"n": ["count_distinct", ["col", "row"]]}).frame
+    o = Tables(spark, d).orders
+    dag = StageDag()  # copies of a row have identities of their own
+    r = dag.row_identity(dag.source(o.unionByName(o.where("o_orderstatus = 'F'")), grain="order", keys=[], name="o"), "row")
+    return dag.aggregate(r, ["o_orderstatus"], {"n": ["count_distinct", ["col", "row"]], "n_rows": ["count"]}).frame
 
 
 @query("SELECT s_suppkey, s_acctbal FROM supplier ORDER BY s_acctbal DESC NULLS LAST, s_suppkey LIMIT 10")
@@ -644,10 +663,13 @@ def stage_plan_json(spark, d):
     return run_plan(plan, {"orders": Tables(spark, d).orders}, EXPENSIVE)["top"].frame
 
 
-@query("SELECT 'key:o_orderkey' AS \"check\", 0::BIGINT AS violations")
+@query("SELECT 'key:o_custkey' AS \"check\", count(*) AS violations FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'key:o_orderkey', 0")
 def stage_verify(spark, d):
-    dag, o, _ = _dag(spark, d)
-    return dag.verify(o).where("check <> 'not_null'")
+    t = Tables(spark, d)
+    dag = StageDag()
+    good = dag.verify(dag.source(t.orders, grain="order", keys=[["o_orderkey"]], name="o"))
+    bad = dag.verify(dag.source(t.orders, grain="customer", keys=[["o_custkey"]], name="c"))
+    return good.union(bad).where("check like 'key:%'")
 
 
 @query(f"SELECT count(*) AS eligible, sum(({S_(P_SQL)} = 'VALUE')::INT)::BIGINT AS known FROM orders")
@@ -779,19 +801,28 @@ def keyset_scan(spark, d):
     return C.keyset_page(Tables(spark, d).orders, ["o_custkey", "o_orderkey"], after=(100, 500), where=[("o_orderstatus", "in", ["F", "O"])], size=100).select("o_custkey", "o_orderkey")
 
 
-@query("SELECT c_custkey, true AS truncated FROM customer ORDER BY c_custkey LIMIT 50")
+@query("SELECT k, c_name, truncated FROM (SELECT 'rows' AS k, c_name, true AS truncated FROM customer ORDER BY c_acctbal, c_custkey LIMIT 50) UNION ALL SELECT 'bytes', n_name, true FROM (SELECT n_name, sum(octet_length(encode(n_name)) + 13) OVER (ORDER BY n_name) AS b FROM nation) WHERE b <= 300 UNION ALL SELECT 'whole', r_name, false FROM region")
 def result_window(spark, d):
-    return C.result_window(Tables(spark, d).customer, ["c_custkey"], rows=50).select("c_custkey", "truncated")
+    t = Tables(spark, d)
+    rows = C.result_window(t.customer, ["c_acctbal", "c_custkey"], rows=50).select(lit("rows").alias("k"), "c_name", "truncated")
+    size = C.result_window(t.nation.select("n_name"), ["n_name"], size=300).select(lit("bytes").alias("k"), col("n_name").alias("c_name"), "truncated")
+    return rows.union(size).union(C.result_window(t.region, ["r_name"]).select(lit("whole").alias("k"), col("r_name").alias("c_name"), "truncated"))
 
 
-@query("SELECT count(*) AS n_rows, count(c_nationkey) AS non_null, count(DISTINCT c_nationkey) AS \"distinct\", false AS proven FROM customer")
+@query("""SELECT 'c_nationkey' AS k, count(*) AS n_rows, count(c_nationkey) AS non_null, count(DISTINCT c_nationkey) AS "distinct", count(DISTINCT c_nationkey) = count(*) AS proven FROM customer
+UNION ALL SELECT 'c_custkey', count(*), count(c_custkey), count(DISTINCT c_custkey), count(DISTINCT c_custkey) = count(*) FROM customer
+UNION ALL SELECT 'with_null', count(*), count(*) - 1, count(*) - 1, false FROM customer""")
 def uniqueness(spark, d):
-    return C.uniqueness(Tables(spark, d).customer, "c_nationkey")
+    c = Tables(spark, d).customer.withColumn("with_null", F.nullif(col("c_custkey"), lit(1)))
+    out = [C.uniqueness(c, n).select(lit(n).alias("k"), "*") for n in ("c_nationkey", "c_custkey", "with_null")]
+    return out[0].union(out[1]).union(out[2])
 
 
-@query("SELECT count(*) AS n_rows, 0::BIGINT AS nulls, 0::BIGINT AS blanks FROM customer")
+@query("""SELECT count(*) AS n_rows, count(*) FILTER (v IS NULL) AS nulls, count(*) FILTER (trim(v) = '') AS blanks, (SELECT string_agg(x, '|' ORDER BY x) FROM (SELECT DISTINCT v AS x FROM c WHERE v IS NOT NULL ORDER BY x LIMIT 4)) AS examples FROM c""".replace("SELECT count(*) AS n_rows", "WITH c AS (SELECT CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 5 = 0 THEN '  ' ELSE c_mktsegment END AS v FROM customer) SELECT count(*) AS n_rows", 1))
 def column_profile(spark, d):
-    return C.profile(Tables(spark, d).customer, "c_mktsegment").drop("examples")
+    v = F.when(col("c_custkey") % 7 == 0, None).when(col("c_custkey") % 5 == 0, "  ").otherwise(col("c_mktsegment"))
+    out = C.profile(Tables(spark, d).customer.withColumn("v", v), "v", examples=4)
+    return out.withColumn("examples", F.array_join("examples", "|"))
 
 
 @query("SELECT count(*) AS distinct_values, count(c_custkey) AS found FROM (SELECT DISTINCT o_custkey FROM orders) LEFT JOIN customer ON o_custkey = c_custkey")
@@ -800,16 +831,18 @@ def link_overlap(spark, d):
     return C.domain_overlap(t.orders, "o_custkey", t.customer, "c_custkey")
 
 
-@query("SELECT user_id, max(event_id) FILTER (n = 1) AS event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS n FROM events) GROUP BY 1")
+@query("SELECT user_id, max(event_id) FILTER (n = 1) AS event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) GROUP BY 1")
 def latest_version(spark, d):
-    return C.latest_versions(Tables(spark, d).events, ["user_id"], "ts").select("user_id", "event_id")
+    return C.latest_versions(Tables(spark, d).events, ["user_id"], "ts", "event_id").select("user_id", "event_id")
 
 
-@query("SELECT c_custkey, c_acctbal::DECIMAL(38,10)::DOUBLE AS b FROM customer")
+@query("SELECT c_custkey, c_acctbal::DECIMAL(12,2)::DOUBLE AS b, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE 'a \"quoted\", ' || c_mktsegment END AS s FROM customer")
 def csv_cells(spark, d):
-    text = Tables(spark, d).customer.select(col("c_custkey").cast("string").alias("k"), col("c_acctbal").cast("decimal(12,2)").cast("string").alias("b"))
-    kinds = csvfile.inferred(text)
-    return csvfile.typed(text, kinds).select(col("k").cast("bigint").alias("c_custkey"), col("b").cast("double").alias("b"))
+    folder = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    text = F.when(col("c_custkey") % 9 == 0, None).otherwise(F.concat(lit('a "quoted", '), "c_mktsegment"))
+    Tables(spark, d).customer.select(col("c_custkey").alias("k"), col("c_acctbal").cast("decimal(12,2)").alias("b"), text.alias("s")).write.option("header", True).option("escape", '"').csv(folder)
+    cells = csvfile.read(spark, folder)
+    return csvfile.typed(cells, csvfile.inferred(cells)).select(col("k").cast("bigint").alias("c_custkey"), col("b").cast("double").alias("b"), "s")
 
 
 # -- answer matrices
@@ -883,23 +916,26 @@ def refresh_invalidate(spark, d):
     return manage.refresh(obs, ["error", "signup"]).select("observation_id")
 
 
-@query("SELECT 'd1' AS definition_id, 'ACTIVE' AS status, 'me' AS owner UNION ALL SELECT 'd2', 'PROVISIONAL', NULL")
+@query("SELECT p_partkey::VARCHAR AS definition_id, CASE WHEN p_size <= 25 THEN 'RETIRED' WHEN p_partkey IN (7, 8) THEN 'ACTIVE' ELSE 'PROVISIONAL' END AS status, CASE WHEN p_size > 25 AND p_partkey IN (7, 8) THEN 'me' WHEN p_size > 40 THEN 'you' END AS owner FROM part")
 def promote(spark, d):
-    defs = spark.createDataFrame([("d1", "PROVISIONAL", None), ("d2", "PROVISIONAL", None)], "definition_id string, status string, owner string")
-    return manage.promote(defs, "d1", owner="me", holdout_accuracy=0.9)
+    defs = Tables(spark, d).part.select(col("p_partkey").cast("string").alias("definition_id"), F.when(col("p_size") > 25, "PROVISIONAL").otherwise("RETIRED").alias("status"), F.when(col("p_size") > 40, "you").alias("owner"))
+    return manage.promote(manage.promote(defs, "7", owner="me", holdout_accuracy=0.9), "8", owner="me", holdout_accuracy=0.8)
 
 
-@query()
+@query("""WITH RECURSIVE t AS (SELECT f, id, w, row_number() OVER (ORDER BY f) AS n FROM (SELECT sha256(text) AS f, min(item_id) AS id, list_sort(list_distinct(regexp_extract_all(lower(any_value(text)), '[a-z0-9_]+'))) AS w FROM benchmark WHERE length(text) <= 250 GROUP BY text)),
+g AS (SELECT 0::BIGINT AS n, []::VARCHAR[] AS fs, []::VARCHAR[][] AS ws UNION ALL SELECT t.n, CASE WHEN len(fs) < 10 AND len(list_filter(ws, lambda v: len(list_intersect(v, t.w)) > 0.8 * (len(v) + len(t.w) - len(list_intersect(v, t.w))))) = 0 THEN list_append(fs, t.f) ELSE fs END,
+ CASE WHEN len(fs) < 10 AND len(list_filter(ws, lambda v: len(list_intersect(v, t.w)) > 0.8 * (len(v) + len(t.w) - len(list_intersect(v, t.w))))) = 0 THEN list_append(ws, t.w) ELSE ws END FROM g JOIN t ON t.n = g.n + 1)
+SELECT f AS fingerprint, id AS item_id, 'PROVISIONAL' AS status FROM t WHERE list_contains((SELECT fs FROM g ORDER BY n DESC LIMIT 1), f)""")
 def discover(spark, d):
     e = ColumnEvaluator({"topic": one_hot(F.when(F.length("text") > 250, "long").otherwise("unknown"), ("long", "unknown"))})
-    return manage.discover(Tables(spark, d).benchmark, ["long"], "topic", e, id_col="item_id", text_col="text", exemplars=10)
+    return manage.discover(Tables(spark, d).benchmark, ["long"], "topic", e, id_col="item_id", text_col="text", exemplars=10).select("fingerprint", "item_id", "status")
 
 
-@query()
+@query("""SELECT * FROM (VALUES ('customer', 'c_custkey', 'bigint'), ('customer', 'c_nationkey', 'int'), ('orders', 'o_orderkey', 'bigint'), ('orders', 'o_custkey', 'bigint')) v("table", "column", "type")""")
 def select_schema(spark, d):
     t = Tables(spark, d)
     e = ColumnEvaluator({"table relevant": F.when(col("table").isin("orders", "customer"), 0.9).otherwise(0.1), "column relevant": F.when(col("column").contains("key"), 0.9).otherwise(0.1)})
-    return manage.select_schema(manage.catalog_frame(spark, {n: getattr(t, n) for n in ("orders", "customer", "part")}), "orders of customers", e)
+    return manage.select_schema(manage.catalog_frame(spark, {n: getattr(t, n) for n in ("orders", "customer", "part")}), "orders of customers", e).select("table", "column", "type")
 
 
 @query("SELECT r_name, count(*) AS value FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_totalprice > 100000 GROUP BY r_name")
@@ -964,6 +1000,9 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
     "sql_anti": ("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)", None),
     "sql_in": ("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AND o_orderpriority LIKE '1%'", None),
     "sql_any": ("SELECT s_suppkey FROM supplier WHERE s_acctbal > ALL (SELECT c_acctbal FROM customer WHERE c_custkey < 20)", None),
+    "sql_any_some": ("SELECT n_nationkey FROM nation WHERE n_nationkey <> ANY (SELECT r_regionkey FROM region WHERE r_regionkey < 2) AND n_nationkey >= ANY (SELECT r_regionkey + 3 FROM region)", None),
+    "sql_any_empty": ("SELECT n_nationkey, n_nationkey > ALL (SELECT r_regionkey FROM region WHERE r_regionkey > 90) AS a, n_nationkey < ANY (SELECT r_regionkey FROM region WHERE r_regionkey > 90) AS b, n_nationkey = ALL (SELECT r_regionkey FROM region WHERE r_regionkey = 3) AS c FROM nation", None),
+    "sql_any_nulls": ("SELECT n_nationkey, n_nationkey > ALL (SELECT nullif(r_regionkey, 2) FROM region) AS a, n_nationkey < ANY (SELECT nullif(r_regionkey, 4) FROM region) AS b, n_nationkey <> ANY (SELECT nullif(r_regionkey, 2) FROM region WHERE r_regionkey = 2) AS c, nullif(n_nationkey, 5) <= ALL (SELECT r_regionkey + 20 FROM region) AS e FROM nation", None),
     "sql_setops": ("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 2 UNION SELECT 99", None),
     "sql_union_all": ("SELECT n_nationkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region", None),
     "sql_cte": ("WITH big AS (SELECT o_custkey, sum(o_totalprice) AS t FROM orders GROUP BY o_custkey HAVING sum(o_totalprice) > 2000000) SELECT c.c_mktsegment, count(*) AS n FROM big JOIN customer c ON c.c_custkey = big.o_custkey GROUP BY c.c_mktsegment", None),

@@ -212,8 +212,8 @@ def result_window(df: DataFrame, order: list[str], *, rows: int = 1_000, size: i
     return top.withColumn("truncated", F.bool_or(~fits).over(W.partitionBy())).where(fits).drop("_n", "_b")
 
 
-def latest_versions(messages: DataFrame, key: list[str], version: str) -> DataFrame:
-    """The last version of each record."""
+def latest_versions(messages: DataFrame, key: list[str], *version: str) -> DataFrame:
+    """The last version of each record; further columns settle ties."""
     from pyspark.sql import Window as W
 
-    return messages.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(F.desc(version)))).where("_n = 1").drop("_n")
+    return messages.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(*map(F.desc, version)))).where("_n = 1").drop("_n")

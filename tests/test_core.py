@@ -11,7 +11,7 @@ from quorvia.evaluators import ColumnEvaluator, PythonEvaluator, one_hot
 from quorvia.functions import spans as S
 from quorvia.functions.dialect import translate_pattern
 from quorvia.functions.sql import Semantics, SqlError, check_partial, commit_change, guard, insert_rows, prepare, preview_change, run_sql
-from quorvia.judge import judge
+from quorvia.judge import bundled, judge
 from quorvia.operators import OPERATORS, call, calculate, check, compare, connect, control, extract, manage, organise
 from quorvia.plans import programs as P
 from quorvia.plans.stages import StageDag, run_plan
@@ -288,6 +288,96 @@ def test_guard_refuses(text):
         guard(text)
 
 
+HIDDEN = [
+    r"SELECT '\'', java_method('java.lang.Runtime','getRuntime') AS x, '\''",
+    r"SELECT '\\', reflect('java.util.UUID','randomUUID') AS x, '\\'",
+    r"SELECT r'\', reflect('java.util.UUID','randomUUID') AS x, r'\'",
+    "SELECT 1 /* /* */ ' */, reflect('java.util.UUID','randomUUID') -- '",
+    "SELECT 1 -- \\\n, 'x\n, reflect('java.util.UUID','randomUUID')",
+    "SELECT /*+ BROADCAST(t) */ 1 FROM t", "SELECT 'open", "SELECT 1 /* open", "SELECT `reflect`('java.util.UUID','randomUUID')",
+]
+
+
+@pytest.mark.parametrize("text", HIDDEN)
+def test_nothing_hides_in_quotes_or_comments(spark, text):
+    with pytest.raises(SqlError):
+        run_sql(spark, text)
+
+
+def test_quoted_texts_stay_readable(spark):
+    got = run_sql(spark, r"SELECT 'it\'s (fine)' AS a, 'two''quotes' AS b, r'\d(' AS c -- reflect('x')").first()
+    assert tuple(got) == ("it's (fine)", "twoquotes", "\\d(") or got[0] == "it's (fine)"
+
+
+def test_partial_results_stop_the_statement(spark):
+    from quorvia.evaluators import PythonEvaluator, TableEvaluator
+
+    df = spark.createDataFrame([(1, "yes"), (2, "no"), (3, None)], "id int, s string")
+    known = Semantics({"d": "CASE WHEN {col} = 'yes' THEN 0.9 ELSE 0.1 END"})
+    open_ = Semantics({"d": "CASE WHEN {col} = 'yes' THEN 0.9 ELSE 0.5 END"})
+    nested = "SELECT id FROM t WHERE id IN (SELECT id FROM t WHERE SEMANTIC(s, 'd'))"
+    assert [r.id for r in run_sql(spark, nested, known, {"t": df}).collect()] == [1]
+    with pytest.raises(Exception, match="unresolved semantic"):
+        run_sql(spark, nested, open_, {"t": df}).collect()
+    plain = "WITH x AS (SELECT id, s FROM t) SELECT id FROM x WHERE SEMANTIC(s, 'd')"
+    assert [r.id for r in run_sql(spark, plain, open_, {"t": df}).collect()] == [1]
+    # evaluators of other kinds answer before the statement runs
+    answers = spark.createDataFrame([(1, 0.9), (2, 0.5)], "id int, p double")
+    for e in (TableEvaluator(answers, ["id"], {"d": "p"}), PythonEvaluator(lambda q, cs: [{"p": 0.9 if c["s"] == "yes" else 0.5} for c in cs])):
+        by = Semantics(evaluators={"d": e})
+        got = run_sql(spark, "SELECT x.*, SEMANTIC(x.s, 'd') AS v FROM t x", by, {"t": df})
+        assert got.columns == ["id", "s", "v"] and {r.id: r.v for r in got.collect()} == {1: True, 2: None, 3: None}
+        with pytest.raises(Exception, match="unresolved semantic"):
+            run_sql(spark, nested, by, {"t": df}).collect()
+
+
+def test_bundles_fill_in_order(spark):
+    sizes = [31_968] * 10 + [8] * 200 + [40_000]
+    rows = spark.createDataFrame([("g", i, "x" * n) for i, n in enumerate(sizes)] + [(None, 0, None)], "g string, context_key int, payload string")
+    got = bundled(rows, ["g"], Limits(), F.col("payload")).collect()
+    by = {}
+    for r in got:
+        if r.g and r.bundle is not None:
+            by.setdefault(r.bundle, []).append((r.context_key, len(r.payload) + 32))
+    assert all(len(b) <= 32 and sum(n for _, n in b) <= 64_000 for b in by.values()) and sum(map(len, by.values())) == 210
+    order = [k for _, b in sorted(by.items()) for k, _ in sorted(b)]
+    assert order == sorted(order) and [r.too_large for r in got if r.context_key == 210] == [True]
+
+
+def test_verify_refuses_too_large_a_bundle(spark):
+    claims = spark.createDataFrame([(1,), (2,), (3,)], "c int")
+    evidence = spark.createDataFrame([(1, f"e{i}") for i in range(5)] + [(2, "yes")], "k int, t string")
+    e = ColumnEvaluator({"supports": lambda q: F.when(F.array_contains("evidence", "yes"), 0.9).otherwise(0.1), "opposes": lambda q: F.lit(0.1)})
+    got = {r.c: r for r in check.verify(claims, evidence, "supports", "opposes", e, claim_id="c", evidence_claim="k", text_col="t", max_evidence=4).collect()}
+    assert got[1].n_evidence == 5 and got[1].support.operation_state == got[1].opposition.operation_state == "BLOCKED_BY_POLICY"
+    assert got[1].stance.output_state == "NOT_EVALUATED" and got[2].stance.value_text == "support" and got[3].n_evidence == 0
+
+
+@pytest.mark.parametrize("bucket_rows", (100_000, 7))
+def test_budgets_are_reserved_in_order(spark, bucket_rows):
+    rows = spark.createDataFrame([(i, i % 3 or None, 1) for i in range(40)], "id int, g int, cost int")
+    got = control.budget_states(rows, cost="cost", limit=5, order_by=["id"], bucket_rows=bucket_rows)
+    assert sorted(r.id for r in got.where("operation_state = 'SUCCEEDED'").collect()) == [0, 1, 2, 3, 4]
+    got = control.budget_states(rows, cost="cost", limit=15, order_by=["g", "id"], bucket_rows=bucket_rows)
+    assert sorted(r.id for r in got.where("operation_state = 'SUCCEEDED'").collect()) == [0, 1, *range(3, 40, 3)]
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [("-5 units", [-5]), ("5 million", [5_000_000]), ("(7)", [-7]), ("共3万人", [30_000]), ("3.5e4 and -1.20e3", [35_000, -1200]), ("2.5万", [25_000]), ("range 3-5", [3, 5]), ("A5 v1.2.3", []), ("USD 20 or €3.5k", [20, 3500]), ("(5 units) +7", [5, 7])],
+)
+def test_literal_numbers_whole(text, want):
+    assert [S.to_number(s["text"]) for s in S.scalar_spans(text)] == want
+    assert all(text[s["start"] : s["end"]] == s["text"] for s in S.scalar_spans(text))
+
+
+def test_long_numbers_are_exact():
+    from decimal import Decimal
+
+    assert S.to_number("1234567890123456789012345678.5") is None or S.to_number("1234567890123456789012345678.5") == Decimal("1234567890123456789012345678.5")
+    assert S.to_number("123456789012345678901.0123456789") == Decimal("123456789012345678901.0123456789") and S.to_number("1e400") is None
+
+
 def test_sql_rules(spark):
     guard("SELECT count(*) FROM t WHERE a IN ('drop table', ';')")
     with pytest.raises(SqlError):
@@ -373,6 +463,8 @@ def test_jobs(spark):
     jobs.cancel("b")
     with pytest.raises(RuntimeError, match="CANCELLED"):
         jobs.result("b", 60)
+    began = time.time()
+    assert spark.range(1000).selectExpr("sum(id)").first()[0] == 499500 and time.time() - began < 30  # the cores are free again
     a, plan = Approvals(), Approvals.plan_hash("JOIN", {"x": 1})
     assert not a.valid(plan)
     a.grant(plan)
