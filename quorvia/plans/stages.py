@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from quorvia.decision import Policy, choice_of, coverage_columns, missing, proposition, score_on
 from quorvia.judge import judge
 from quorvia.plans.terms import AGGREGATES, RANKS, Field, TermError, lower
+from quorvia.session import checkpointed
 
 _KINDS = {"byte": "integer", "short": "integer", "integer": "integer", "long": "integer", "float": "number", "double": "number", "decimal": "number", "string": "text", "boolean": "boolean", "date": "date", "timestamp": "datetime", "timestamp_ntz": "datetime", "variant": "json"}
 
