@@ -256,9 +256,13 @@ def nearest(
     # equal rows may have been in several blocks
     found = found.groupBy("query_id", "vec_id", "key").agg(F.min("about").alias("about"))
     best = found.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy("about", "vec_id", "key"))).where(F.col("n") <= rerank).select("query_id", "vec_id", "key")
-    vectors = valid.groupBy("vec_id", "key").agg(F.first("v").alias("v"), F.count("*").alias("copies"))
-    near = best.join(vectors, ["vec_id", "key"]).join(asking.toDF("query_id", "q"), "query_id")
-    score = F.sqrt(F.aggregate(F.zip_with("q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda x, y: x + y))
+    # vectors of floats travel as floats, which loses nothing
+    stored_as = rows.schema[vector_col].dataType.simpleString()
+    plain = F.col("v").cast(stored_as if stored_as in ("array<float>", "array<double>") else "array<double>")
+    vectors = valid.groupBy("vec_id", "key").agg(F.first(plain).alias("v"), F.count("*").alias("copies"))
+    near = best.join(vectors, ["vec_id", "key"]).join(asking.select(F.col("vec_id").alias("query_id"), plain.alias("q")), "query_id")
+    apart = lambda a, b: a.cast("double") - b.cast("double")
+    score = F.sqrt(F.aggregate(F.zip_with("q", "v", lambda a, b: apart(a, b) * apart(a, b)), F.lit(0.0), lambda x, y: x + y))
     near = near.select("query_id", "vec_id", score.alias("score"), F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k)).cast("int"))).alias("copy"))
     order = W.partitionBy("query_id").orderBy("score", "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

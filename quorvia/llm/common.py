@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import gc
 import math
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -14,12 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+from quorvia.session import checkpointed, shared_dir, table
 
+__all__ = ["ChunkTable", "checkpointed", "free_name", "id_and_text", "id_ddl", "map_arrow", "mix64", "partitions_for", "passthrough", "quiet_gc", "shared_dir", "table", "texts_of"]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 class ChunkTable(dict):
@@ -100,31 +97,5 @@ def partitions_for(spark: SparkSession, size: float, target: int = 64 << 20) ->
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / target))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors reach: ``spark.checkpoint.dir``; only where that is unset, as in
-    tests on one machine, a temporary one."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found
-    if not sc.getConf().get("spark.master", "local[1]").startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    found = os.path.join(tempfile.gettempdir(), f"quorvia-checkpoint-{uuid.uuid4().hex}")
-    sc.setCheckpointDir(found)
-    return found
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The frame as a reliable checkpoint in the shared folder: lineage ends there."""
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def passthrough(batch: pa.RecordBatch, keep: list[bool] | np.ndarray) -> pa.RecordBatch:
     return batch.filter(pa.array(np.asarray(keep, dtype=bool)))

@@ -17,7 +17,8 @@ hash (0.0005 at 10^8 windows).
 
 Edge cases: null texts have no words; texts shorter than a window lose nothing; rows with the same
 ``doc_id`` don't count as smaller than one another; a null id is larger than any other; each input
-row gives a row; an empty table gives none; other columns are ignored.
+row gives a row; an empty table gives none; ids may be of any type with an order; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +36,9 @@ from quorvia.llm.common import ChunkTable, id_and_text, id_ddl, mix64, quiet_gc
 WINDOW = 13
 #: Text bytes that a batch holds in about.
 BATCH_BYTES = 8 << 20
+#: Batches whose hashes, were they all different, would fill one bucket.
+BUCKET_BATCHES = 4
+DRAWN = 32  # ids drawn for each cut, where ids aren't numbers
 BASE = np.uint64(0x9FB21C651E98DF25)
 LOW_BITS = 40
 _MASK = np.uint64((1 << LOW_BITS) - 1)
@@ -102,8 +106,10 @@ def _bounds(rows: DataFrame, batch_bytes: int) -> list:
     if parts == 1:
         return []
     kind = rows.schema["doc_id"].dataType.typeName()
-    if kind not in ("byte", "short", "integer", "long"):
-        raise TypeError(f"doc_id must be a whole number, not {kind}")
+    if kind not in ("byte", "short", "integer", "long"):  # other ids: cuts of the ids of smallest hash
+        drawn = [r[0] for r in rows.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id")).limit(DRAWN * parts).orderBy("doc_id").collect()]
+        step = max(1, len(drawn) // parts)
+        return sorted(set(drawn[step::step]))
     cuts = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], max(10_000, 20 * parts))).first()[0]
     return sorted(set(cuts or []))
 
@@ -126,7 +132,7 @@ def removals(docs: DataFrame, *, window: int = WINDOW, batch_bytes: int = BATCH_
     intervals [start, end) removed from a document, kept the words left, joined by a space."""
     rows, key = id_and_text(docs, id_col, text_col), id_ddl(docs, id_col)
     bounds = _bounds(rows, batch_bytes)
-    buckets = len(bounds) + 1
+    buckets = len(bounds) // BUCKET_BATCHES + 1
     cut = _batched(rows, bounds)
 
     def gather(group: tuple, table: pa.Table) -> pa.Table:

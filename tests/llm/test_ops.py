@@ -150,6 +150,9 @@ def test_substrings_against_brute_force(spark, odd, none, batch_bytes):
     rows = [(r.randint(0, 50), "  ".join(r.choice([*passages, *(str(r.random()) for _ in range(3)), "a b c d"]) for _ in range(r.randint(0, 6)))) for _ in range(60)] + ODD
     got = substrings.removals(frame(spark, rows), batch_bytes=batch_bytes, window=5)
     assert sorted(((x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in got.collect()), key=str) == brute_removals(rows, 5)
+    named = lambda d: None if d is None else f"d{d:06d}"
+    texts = substrings.removals(spark.createDataFrame([(named(d), t) for d, t in rows], "doc_id string, text string"), batch_bytes=batch_bytes, window=5)
+    assert sorted(((x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in texts.collect()), key=str) == sorted([(named(d), *more) for d, *more in brute_removals(rows, 5)], key=str)
     assert substrings.removal_digests(odd).count() == len(ODD)
     assert substrings.removal_digests(none).count() == 0
 
