@@ -52,7 +52,7 @@ def test_query(spark, duck, name):
 
 
 def test_every_query_has_a_twin_but_a_few():
-    assert set(Q.QUERIES) - set(Q.SQL) == {"discover", "select_schema"}
+    assert set(Q.QUERIES) - set(Q.SQL) <= {"align_whole", "verify_whole", "extract_table_whole", "embedding_distance_any_basis_whole"}
     assert set(Q.SQL) <= set(Q.QUERIES)
 
 
