@@ -1,20 +1,22 @@
-"""Approximate nearest neighbours: anisotropic product quantisation, four-bit table scans, exact reranking.
-
-The Euclidean distance is searched as an inner product with the exact squared norms beside it. A
-vector is quantised two components at a time to one of sixteen codewords, chosen by a score-aware
-loss: the part of the residual that is parallel to the vector, which is what moves an inner product,
-costs ``eta`` times the rest. A query becomes a table of 16 partial products for each pair of
-components; a scan adds up table entries by code. The best of a scan are reranked on the original
-vectors in double precision.
+"""Nearest neighbours: lists of coarse centres, exact distances within the lists that a query visits.
 
 Vectors stand in lists of their nearest coarse centre; a query visits the lists nearest to it, as many
 as hold ``PROBE_RECALL`` of the neighbours in the sample (few where the vectors form clusters, most where
-they don't), and no fewer than hold a few thousand vectors. A list is split into blocks of about
-``BLOCK_ROWS`` vectors and its queries into blocks of about ``QUERY_ROWS``; a task scans one block for
-one, so its memory is bounded by these two whatever the table, the list and the number of queries are.
-What moves is codes, half a byte for two components; the vectors themselves are joined to the
-``RERANK`` best of a query only. Centres and codewords are fitted on at most ``SAMPLE`` vectors; every
-vector is indexed.
+they don't), and no fewer than hold ``LEAST_ROWS`` vectors: a table of no more is searched whole. Within
+a visited list every vector is compared exactly, in double precision: a matrix product, on vectors less
+the list's centre, finds who may be among the best, and these are measured by differences, as the score
+is. So clusters that are narrow beside the whole, which codes of a few bits can't tell apart, cost no
+recall.
+
+A list is split into blocks of about ``BLOCK_ROWS`` vectors (fewer of long ones, for ``BLOCK_BYTES``) and
+its queries into blocks of about ``QUERY_ROWS``; a task compares one block with one, so its memory is
+bounded by these whatever the table, the list and the number of queries are, and ``k`` rows a query leave
+it. Centres are fitted on at most ``SAMPLE`` vectors; every vector is indexed.
+
+``Index`` also has the codes of anisotropic product quantisation (two components at a time to one of
+sixteen codewords, where the part of the residual that is parallel to the vector costs ``eta`` times the
+rest) and their table scan. ``nearest`` doesn't use them: a product in double precision takes less time
+than the look-ups here, and loses nothing.
 
 Edge cases: null and zero vectors, and those with a null or non-finite component, take no part, nor
 do vectors of another length than most have (the shorter of equally frequent ones counts); rows with
@@ -37,8 +39,8 @@ SAMPLE = 20_000
 LIST_ROWS, MAX_LISTS = 4_000, 1_024
 #: Share of the sample's neighbours that the visited lists must hold.
 PROBE_RECALL, PROBE_QUERIES = 0.98, 256
-BLOCK_ROWS, QUERY_ROWS = 1 << 18, 1 << 13
-RERANK = 256
+LEAST_ROWS = 1 << 18
+BLOCK_ROWS, QUERY_ROWS, BLOCK_BYTES = 1 << 18, 1 << 13, 64 << 20
 NEAREST = 10
 ANGLE = 0.2  # threshold of the score-aware loss
 
@@ -60,13 +62,15 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
 
 
 class Index:
-    """Coarse centres and codewords."""
+    """Coarse centres and, if ``coded``, codewords."""
 
-    def __init__(self, sample: np.ndarray, lists: int, seed: int = 11):
+    def __init__(self, sample: np.ndarray, lists: int, seed: int = 11, coded: bool = True):
         rng = np.random.default_rng(seed)
         d = sample.shape[1]
         self.dim, self.padded = d, d + d % 2
         self.centres = _kmeans(sample, max(1, min(lists, len(sample))), rng)
+        if not coded:
+            return
         self.eta = max(1.0, (d - 1) * ANGLE**2 / (1 - ANGLE**2))
         x = self._pad(sample)
         m = self.padded // 2
@@ -173,11 +177,28 @@ def valid_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     )
 
 
+def _best(q: np.ndarray, x: np.ndarray, ids: np.ndarray, own: int, far: np.ndarray, slack: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and distances of the ``k`` rows nearest to one query, ties to smaller ids. ``far``: half the
+    squared distances less a constant, each right to ``slack``."""
+    far[ids == own] = np.inf
+    n = min(len(far), k)
+    edge = np.partition(far, n - 1)[n - 1]
+    may = np.flatnonzero((far <= edge + 2 * slack) & (far < np.inf))
+    if not len(may):
+        return may, np.zeros(0)
+    step = max(1, BLOCK_BYTES // (16 * len(q)))
+    # running sums, as a loop over the components adds
+    score = np.sqrt(np.concatenate([np.cumsum((x[may[i : i + step]] - q) ** 2, axis=1)[:, -1] for i in range(0, len(may), step)]))
+    order = np.lexsort((ids[may], score))[:k]
+    return may[order], score[order]
+
+
 def nearest(
-    rows: DataFrame, *, k: int = NEAREST, queries: str = "vec_id % 100 = 0", sample: int = SAMPLE, list_rows: int = LIST_ROWS, probe_recall: float = PROBE_RECALL, rerank: int = RERANK,
-    block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS, id_col: str = "vec_id", vector_col: str = "embedding",
+    rows: DataFrame, *, k: int = NEAREST, queries: str = "vec_id % 100 = 0", sample: int = SAMPLE, list_rows: int = LIST_ROWS, probe_recall: float = PROBE_RECALL, rerank: int = 0,
+    least_rows: int = LEAST_ROWS, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS, id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
-    """``query_id, rank, vec_id, score``: of each row that ``queries`` picks, the ``k`` nearest found."""
+    """``query_id, rank, vec_id, score``: of each row that ``queries`` picks, the ``k`` nearest found.
+    ``rerank`` has no effect since all that is visited is compared exactly."""
     spark = rows.sparkSession
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     valid = valid_vectors(rows, id_col, vector_col).withColumn("vec_id", F.col("vec_id").cast("bigint"))
@@ -185,22 +206,25 @@ def nearest(
     if lengths is None:
         return spark.createDataFrame([], schema)
     dim, total = lengths["d"], lengths["count"]
-    valid = valid.where(F.size("v") == dim).withColumn("key", F.xxhash64("v"))
-    picked = _matrix(valid.orderBy(F.xxhash64("vec_id"), "vec_id", "key").limit(sample).select("v").toArrow().column("v"), dim)
-    index = Index(picked, max(1, min(MAX_LISTS, total // list_rows)))
-    lists, pairs, rerank = len(index.centres), index.padded // 2, max(rerank, k)
-    visits = index.lists_to_visit(picked, k, probe_recall)
-
-    def coded(batch: pa.RecordBatch):
+    # vectors of floats travel as floats, which loses nothing
+    stored_as = rows.schema[vector_col].dataType.simpleString()
+    stored_as = stored_as if stored_as in ("array<float>", "array<double>") else "array<double>"
+    valid = valid.where(F.size("v") == dim)
+    picked = _matrix(valid.orderBy(F.xxhash64("vec_id"), "vec_id", F.xxhash64("v")).limit(sample).select("v").toArrow().column("v"), dim)
+    index = Index(picked, max(1, min(MAX_LISTS, total // list_rows)), coded=False)
+    lists, visits = len(index.centres), index.lists_to_visit(picked, k, probe_recall)
+    block_rows = max(1, min(block_rows, BLOCK_BYTES // (8 * dim)))
+    travels = pa.list_(pa.float32() if stored_as == "array<float>" else pa.float64())
+
+    def listed(batch: pa.RecordBatch):
         quiet_gc()
-        x = _matrix(batch.column("v"), dim)
-        codes = [c.tobytes() for c in packed_codes(index.encode(x))]
-        yield pa.RecordBatch.from_arrays([pa.array(index.lists_of(x).astype(np.int32)), batch.column("vec_id"), batch.column("key"), pa.array((0.5 * (x * x).sum(1)).astype(np.float32)), pa.array(codes, pa.binary())], ["list", "vec_id", "key", "half", "code"])
+        near = index.lists_of(_matrix(batch.column("v"), dim)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(near), batch.column("vec_id"), batch.column("v")], ["list", "vec_id", "v"])
 
-    stored = checkpointed(map_arrow(valid, coded, "list int, vec_id bigint, key bigint, half float, code binary"))
+    stored = checkpointed(map_arrow(valid.select("vec_id", F.col("v").cast(stored_as).alias("v")), listed, f"list int, vec_id bigint, v {stored_as}"))
     counts = {r["list"]: r["count"] for r in stored.groupBy("list").count().collect()}  # a number for each list
     held = np.array([counts.get(i, 0) for i in range(lists)])
-    least = max(k + 1, min(total, 4 * list_rows))
+    least = max(k + 1, min(total, max(least_rows, 4 * list_rows)))
 
     def probes(batch: pa.RecordBatch):
         q = _matrix(batch.column("v"), dim)
@@ -210,10 +234,10 @@ def nearest(
             visit = order[i][: max(int(enough), visits)]
             visit = visit[held[visit] > 0]
             row = batch.slice(i, 1).take(pa.array([0] * len(visit), pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(visit.astype(np.int32)), row.column("vec_id"), row.column("v")], ["list", "query_id", "q"])
+            yield pa.RecordBatch.from_arrays([pa.array(visit.astype(np.int32)), row.column("vec_id"), row.column("v").cast(travels)], ["list", "query_id", "q"])
 
     asking = valid.where(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
-    asked = map_arrow(asking, probes, "list int, query_id bigint, q array<double>")
+    asked = map_arrow(asking, probes, f"list int, query_id bigint, q {stored_as}")
     asked_of = {r["list"]: r["count"] for r in asked.groupBy("list").count().collect()}  # a number for each list
     if not asked_of:
         return spark.createDataFrame([], schema)
@@ -225,47 +249,30 @@ def nearest(
 
     def search(group: tuple, data: pa.Table, ask: pa.Table) -> pa.Table:
         quiet_gc()
-        out: list[list[np.ndarray]] = [[], [], [], []]
+        out: list[list[np.ndarray]] = [[], [], []]
         if data.num_rows and ask.num_rows:
-            ids, keys, half = (data.column(c).combine_chunks().to_numpy() for c in ("vec_id", "key", "half"))
-            codes = np.frombuffer(b"".join(data.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-            order = np.lexsort((keys, ids))  # equal rows once, and smaller ids first
-            ids, keys = ids[order], keys[order]
-            order = order[np.concatenate([[True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])])]
-            ids, keys, half = (data.column(c).combine_chunks().to_numpy()[order] for c in ("vec_id", "key", "half"))
-            codes = unpacked_codes(codes[order], pairs)
+            centre = index.centres[group[0].as_py()]
+            ids, x = data.column("vec_id").combine_chunks().to_numpy(), _matrix(data.column("v"), dim)
             query_ids, q_all = ask.column("query_id").combine_chunks().to_numpy(), _matrix(ask.column("q"), dim)
-            step = max(1, (1 << 24) // len(ids))
+            moved, asks = x - centre, q_all - centre
+            half = 0.5 * (moved * moved).sum(1)
+            longest = np.sqrt(2 * half.max())
+            step = max(1, (1 << 22) // len(ids))
             for at in range(0, len(q_all), step):
-                q, qid = q_all[at : at + step], query_ids[at : at + step]
-                far = half[None, :] - index.scan(q, codes)
-                far[qid[:, None] == ids[None, :]] = np.inf
-                n = min(len(ids), rerank)
-                edge = np.partition(far, n - 1, axis=1)[:, n - 1]
-                for i in range(len(q)):
-                    under = np.flatnonzero(far[i] < edge[i])
-                    if edge[i] < np.inf:
-                        under = np.concatenate([under, np.flatnonzero(far[i] == edge[i])[: n - len(under)]])
-                    for part, x in zip(out, (np.full(len(under), qid[i]), ids[under], keys[under], far[i][under])):
-                        part.append(x)
+                far = half[None, :] - asks[at : at + step] @ moved.T
+                for i, row in enumerate(far, at):
+                    # rounding: of the moved vectors, and of the sums of so many products
+                    slack = 4e-16 * (dim + 8) * (longest + np.abs(asks[i]).sum() + np.abs(centre).sum()) ** 2
+                    places, score = _best(q_all[i], x, ids, query_ids[i], row, slack, k)
+                    for part, found in zip(out, (np.full(len(places), query_ids[i]), ids[places], score)):
+                        part.append(found)
         join = lambda part, kind: np.concatenate(part).astype(kind) if part else np.zeros(0, kind)
-        return pa.table({c: join(part, kind) for c, part, kind in zip(("query_id", "vec_id", "key", "about"), out, (np.int64, np.int64, np.int64, np.float32))})
+        return pa.table({c: join(part, kind) for c, part, kind in zip(("query_id", "vec_id", "score"), out, (np.int64, np.int64, np.float64))})
 
     at = ("list", "block", "asks")
-    found = cells.groupBy(*at).cogroup(asked.groupBy(*at)).applyInArrow(search, "query_id bigint, vec_id bigint, key bigint, about float")
-    # equal rows may have been in several blocks
-    found = found.groupBy("query_id", "vec_id", "key").agg(F.min("about").alias("about"))
-    best = found.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy("about", "vec_id", "key"))).where(F.col("n") <= rerank).select("query_id", "vec_id", "key")
-    # vectors of floats travel as floats, which loses nothing
-    stored_as = rows.schema[vector_col].dataType.simpleString()
-    plain = F.col("v").cast(stored_as if stored_as in ("array<float>", "array<double>") else "array<double>")
-    vectors = valid.groupBy("vec_id", "key").agg(F.first(plain).alias("v"), F.count("*").alias("copies"))
-    near = best.join(vectors, ["vec_id", "key"]).join(asking.select(F.col("vec_id").alias("query_id"), plain.alias("q")), "query_id")
-    apart = lambda a, b: a.cast("double") - b.cast("double")
-    score = F.sqrt(F.aggregate(F.zip_with("q", "v", lambda a, b: apart(a, b) * apart(a, b)), F.lit(0.0), lambda x, y: x + y))
-    near = near.select("query_id", "vec_id", score.alias("score"), F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k)).cast("int"))).alias("copy"))
+    found = cells.groupBy(*at).cogroup(asked.groupBy(*at)).applyInArrow(search, "query_id bigint, vec_id bigint, score double")
     order = W.partitionBy("query_id").orderBy("score", "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE = """

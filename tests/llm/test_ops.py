@@ -553,6 +553,19 @@ def test_nearest_recall_on_ten_thousand_vectors(spark):
     assert (ann.unpacked_codes(ann.packed_codes(codes), 7) == codes).all()
 
 
+def test_nearest_within_narrow_clusters(spark):
+    r = np.random.default_rng(8)
+    centres = r.normal(size=(6, 16)) + 5
+    x = (centres[r.integers(0, 6, 6000)] + 0.003 * r.normal(size=(6000, 16))).astype(np.float32)
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)}))
+    d = ((x[::100, None].astype(float) - x[None].astype(float)) ** 2).sum(2)
+    d[np.arange(len(d)), np.arange(0, len(x), 100)] = np.inf
+    want = np.argsort(d, axis=1, kind="stable")[:, :10]
+    for options, least in (({}, 600), ({"list_rows": 500, "least_rows": 1, "block_rows": 400}, 570)):
+        got = ann.nearest(table, **options).collect()
+        assert len(got) == 600 and sum(g.vec_id in want[g.query_id // 100] for g in got) >= least
+
+
 # -- 1: packing
 
 
