@@ -983,7 +983,7 @@ def scan_many(spark, d):
 
 @query("SELECT s_suppkey, s_acctbal AS was, s_acctbal * 2 AS will FROM supplier WHERE s_acctbal < 1000")
 def preview_update(spark, d):
-    out = preview_change(Tables(spark, d).supplier, ["s_suppkey"], col("s_acctbal") < 1000, {"s_acctbal": col("s_acctbal") * 2})
+    out = preview_change(Tables(spark, d).supplier, ["s_suppkey"], col("s_acctbal") < 1000, {"s_acctbal": col("s_acctbal") * 2}, limit=None)
     return out.select("s_suppkey", col("before.s_acctbal").alias("was"), col("after.s_acctbal").alias("will"))
 
 

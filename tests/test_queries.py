@@ -77,3 +77,11 @@ def test_verify_whole_judges_large_bundles(spark, tmp_path):
     got = Q.QUERIES["verify_whole"](spark, str(tmp_path))
     assert sorted(map(tuple, got.collect())) == sorted(con.execute(Q.SQL["verify_whole"]).fetchall())
     assert "collect_list" not in got.where("n_evidence > 64")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_preview_update_takes_any_number_of_rows(spark, tmp_path):
+    spark.range(5000).selectExpr("id as s_suppkey", "cast(id % 2000 as double) as s_acctbal").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = Q.QUERIES["preview_update"](spark, str(tmp_path)).collect()
+    assert sorted((r.s_suppkey, r.was, r.will) for r in got) == [(i, float(i % 2000), 2.0 * (i % 2000)) for i in range(5000) if i % 2000 < 1000]
+    with pytest.raises(Exception, match="more than 1000 rows"):
+        Q.preview_change(Q.Tables(spark, str(tmp_path)).supplier, ["s_suppkey"], Q.col("s_acctbal") < 1000, None)
