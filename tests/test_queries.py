@@ -85,3 +85,20 @@ def test_preview_update_takes_any_number_of_rows(spark, tmp_path):
     assert sorted((r.s_suppkey, r.was, r.will) for r in got) == [(i, float(i % 2000), 2.0 * (i % 2000)) for i in range(5000) if i % 2000 < 1000]
     with pytest.raises(Exception, match="more than 1000 rows"):
         Q.preview_change(Q.Tables(spark, str(tmp_path)).supplier, ["s_suppkey"], Q.col("s_acctbal") < 1000, None)
+
+
+@pytest.mark.parametrize("name", ["join_exact_keys", "align_whole"])
+def test_keyed_pairs_are_spread_over_tasks(spark, tmp_path, monkeypatch, name):
+    """One key with most of the pairs, null keys, keys of one side only, equal balances."""
+    monkeypatch.setattr(Q.connect.candidate_pairs, "__kwdefaults__", Q.connect.candidate_pairs.__kwdefaults__ | {"task_pairs": 1000})
+    nation = lambda i, n: None if i % 50 == 0 else 1 if i % 3 else i % n
+    spark.createDataFrame([(i, f"c{i}", nation(i, 7), i * 37 % 11000 - 1000.0) for i in range(400)], "c_custkey long, c_name string, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(i, nation(i, 9), None if i == 5 else i * 111 % 11000 - 1000.0) for i in range(90)], "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    con = duckdb.connect()
+    for t in ("customer", "supplier"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = Q.QUERIES[name](spark, str(tmp_path))
+    order = lambda rows: sorted(map(tuple, rows), key=str)
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({Q.SQL[name]} AND s_acctbal IS NOT NULL)").fetchall()
+    assert order(r for r in got.where("right_id <> 5" if name == "join_exact_keys" else "s_suppkey <> 5").collect()) == order(want)
+    assert "_l_cell" in got._jdf.queryExecution().optimizedPlan().toString()
