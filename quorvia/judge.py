@@ -10,7 +10,9 @@ from __future__ import annotations
 import json
 from dataclasses import asdict
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +20,9 @@ from pyspark.sql import types as T
 
 from quorvia.decision import RAW_TYPE, Limits, Policy, Question, missing, resolve
 from quorvia.evaluators import ColumnEvaluator, PythonEvaluator, TableEvaluator
+from quorvia.ordering import range_of
+
+RANGE_ROWS = 250_000
 
 
 def context_json(columns: list[str]) -> Column:
@@ -82,24 +87,105 @@ def answer_contexts(work: DataFrame, question: Question, evaluator: PythonEvalua
     return work.select("context_key", "context").mapInArrow(run, f"context_key string, raw {RAW_TYPE}")
 
 
-def bundled(work: DataFrame, group: list[str], limits: Limits, payload: Column) -> DataFrame:
+def _fills(sizes: np.ndarray, most: int, room: int) -> list[tuple[int, int, int]]:
+    """For each of the first places where a bundle may begin: how many bundles there are from there to the
+    end, and the items and bytes of the last."""
+    n = len(sizes)
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.arange(n)
+    after = np.maximum(np.minimum(np.searchsorted(upto, upto[:-1] + room, "right") - 1, at + most), at + 1)
+    known: dict[int, tuple[int, int, int]] = {}
+    for first in range(min(most + 1, n)):
+        path, i = [], first
+        while i not in known:
+            path.append(i)
+            if after[i] >= n:
+                known[i] = (1, n - i, int(upto[n] - upto[i]))
+                break
+            i = int(after[i])
+        for i in reversed(path):
+            if i not in known:
+                count, items, total = known[int(after[i])]
+                known[i] = (count + 1, items, total)
+    return [known[i] for i in range(min(most + 1, n))]
+
+
+def _carried(parts: list, most: int, room: int) -> dict[tuple, tuple[int, int, int]]:
+    """By range and group: bundle, items and bytes with which the group comes into the range."""
+    carry, state, last = {}, (0, 0, 0), None
+    for r in sorted(parts, key=lambda r: (r["_group"], r["_range"])):
+        if r["_group"] != last:
+            last, state = r["_group"], (0, 0, 0)
+        carry[r["_range"], r["_group"]] = state
+        bundle, items, total = state
+        if not items:
+            count, items, total = r["fills"][0]
+            state = (bundle + count - 1, items, total)
+            continue
+        for size, fill in zip(r["head"], r["fills"]):
+            if items >= most or total + size > room:
+                state = (bundle + fill["count"], fill["items"], fill["total"])
+                break
+            items, total = items + 1, total + size
+            state = (bundle, items, total)
+    return carry
+
+
+def bundled(work: DataFrame, group: list[str], limits: Limits, payload: Column, *, range_rows: int = RANGE_ROWS) -> DataFrame:
     """With ``bundle`` numbers within each group, filled in the order of the context key: an item that
     would be one over ``batch`` items or pass ``request_bytes`` begins the next bundle. ``too_large`` for
-    items over ``item_bytes``, which no bundle takes. The rows of a group stream through one task, which
-    keeps two numbers of them."""
+    items over ``item_bytes``, which no bundle takes.
+
+    The order is cut into ranges of about ``range_rows`` rows, each sorted in one task. Where a group goes
+    over several, a first pass finds, for each of the at most ``batch`` + 1 places where the first new bundle
+    of a range may begin, how the range ends; the driver strings two such rows a range together."""
     size = (F.octet_length(payload) + 32).cast("bigint")
     rows = work.withColumns({"too_large": F.coalesce(size > limits.item_bytes, F.lit(False)), "_size": F.coalesce(size, F.lit(32)), "_group": F.to_json(F.struct(*group), {"ignoreNullFields": "false"})})
-    rows = rows.repartition("_group").sortWithinPartitions("_group", "too_large", "context_key")
-    names = [c for c in rows.columns if c not in ("_size", "_group")]
-    most, room = limits.batch, limits.request_bytes
+    order = ["_group", "too_large", "context_key", "_size"]  # with the size, equal keys come alike in both passes
+    count = rows.count()
+    ranges = -(-count // range_rows)
+    most, room, carry = limits.batch, limits.request_bytes, {}
+    if ranges > 1:
+        rows = rows.withColumn("_range", range_of(rows, order, count, range_rows)).repartition(ranges, "_range").sortWithinPartitions("_range", *order)
+
+        def summed(batches):
+            pending, edge, sizes = None, None, []  # first and last groups of a range alone go on into others
+
+            def row(at):
+                found = np.concatenate(sizes)
+                return {"_range": at[0], "_group": at[1], "head": found[: most + 1].tolist(), "fills": [dict(zip(("count", "items", "total"), f)) for f in _fills(found, most, room)]}
+
+            out = []
+            for batch in batches:
+                batch = batch.filter(pc.invert(batch.column("too_large")))
+                at, gs, ss = batch.column("_range").to_pylist(), batch.column("_group").to_pylist(), batch.column("_size").to_numpy()
+                cuts = [0] + [i for i in range(1, len(gs)) if gs[i] != gs[i - 1] or at[i] != at[i - 1]] if gs else []
+                for lo, hi in zip(cuts, [*cuts[1:], len(gs)]):
+                    here = (at[lo], gs[lo])
+                    if here != pending:
+                        if pending is not None and (edge != pending[0] or here[0] != pending[0]):
+                            out.append(row(pending))
+                        edge = None if pending is None else pending[0]
+                        pending, sizes = here, []
+                    sizes.append(ss[lo:hi])
+            if pending is not None:
+                out.append(row(pending))
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("_range", pa.int32()), ("_group", pa.string()), ("head", pa.list_(pa.int64())), ("fills", pa.list_(pa.struct([(c, pa.int64()) for c in ("count", "items", "total")])))]))
+
+        kind = "_range int, _group string, head array<bigint>, fills array<struct<count: bigint, items: bigint, total: bigint>>"
+        carry = _carried(rows.select("_range", "_group", "too_large", "_size").mapInArrow(summed, kind).collect(), most, room)
+    else:
+        rows = rows.withColumn("_range", F.lit(0)).repartition("_group").sortWithinPartitions(*order)
+    names = [c for c in rows.columns if c not in ("_size", "_group", "_range")]
 
     def run(batches):
         last, bundle, items, total = None, 0, 0, 0
         for batch in batches:
             out = []
-            for g, large, s in zip(*(batch.column(c).to_pylist() for c in ("_group", "too_large", "_size"))):
-                if g != last:
-                    last, bundle, items, total = g, 0, 0, 0
+            for r, g, large, s in zip(*(batch.column(c).to_pylist() for c in ("_range", "_group", "too_large", "_size"))):
+                if (r, g) != last:
+                    last = (r, g)
+                    bundle, items, total = carry.get(last, (0, 0, 0))
                 if large:
                     out.append(None)
                     continue

@@ -195,8 +195,9 @@ w AS (SELECT g, k, n, 0::BIGINT AS bundle, 1 AS items, s::BIGINT AS total FROM r
 SELECT g AS o_orderpriority, k AS o_orderkey, bundle, false AS too_large FROM w UNION ALL SELECT g, k, NULL, true FROM r WHERE large""")
 def request_packing(spark, d):
     size = F.when(col("o_orderkey") % 50 == 7, 40000).when(col("o_orderkey") % 10 == 3, 20000 + col("o_orderkey") % 9000).otherwise(10 + col("o_orderkey") % 300)
-    work = Tables(spark, d).orders.select("o_orderpriority", "o_orderkey", col("o_orderkey").alias("context_key"), F.repeat(lit("x"), size.cast("int")).alias("payload"))
-    return bundled(work, ["o_orderpriority"], Limits(), col("payload")).select("o_orderpriority", "bundle", "o_orderkey", "too_large")
+    work = Tables(spark, d).orders.select("o_orderpriority", "o_orderkey", col("o_orderkey").alias("context_key"), size.cast("int").alias("length"))
+    # only the payload's length goes on to the bundles, the text of no row is shuffled
+    return bundled(work, ["o_orderpriority"], Limits(), F.repeat(lit("x"), col("length"))).select("o_orderpriority", "bundle", "o_orderkey", "too_large")
 
 
 @query("SELECT user_id, max(event_id) AS event_id, 'k' AS question_key FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type <> 'error') WHERE n = 1 GROUP BY user_id")

@@ -102,3 +102,14 @@ def test_keyed_pairs_are_spread_over_tasks(spark, tmp_path, monkeypatch, name):
     want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({Q.SQL[name]} AND s_acctbal IS NOT NULL)").fetchall()
     assert order(r for r in got.where("right_id <> 5" if name == "join_exact_keys" else "s_suppkey <> 5").collect()) == order(want)
     assert "_l_cell" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_request_packing_goes_on_across_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(Q.bundled, "__kwdefaults__", {"range_rows": 60})
+    spark.range(3000).selectExpr("id * 7 % 3001 as o_orderkey", "if(id < 20, 'few' || id % 4, if(id < 900, 'b', 'a')) as o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    got = Q.QUERIES["request_packing"](spark, str(tmp_path))
+    order = lambda rows: sorted(map(tuple, rows), key=str)
+    assert order(got.collect()) == order(con.execute(f"SELECT {', '.join(got.columns)} FROM ({Q.SQL['request_packing']})").fetchall())
+    assert got.rdd.getNumPartitions() > 8
