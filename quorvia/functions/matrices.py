@@ -116,6 +116,39 @@ def embedding_distance(a: Column, b: Column, basis_a: Column | None = None, basi
     return out
 
 
+def compact(matrix: Column, basis: Column) -> Column:
+    """What a distance needs of a matrix of any basis: ``cells``, the square roots of its normalised
+    probabilities (null if it isn't complete), ``sizes`` of its questions and a hash of its basis. It is
+    a fraction of the matrix, so rows that are to be joined carry this."""
+    whole = F.forall(matrix, lambda r: F.forall(r["probs"], lambda p: p.isNotNull()))
+    return F.struct(F.when(whole, F.flatten(prepared(matrix))).alias("cells"), F.transform(matrix, lambda r: F.size(r["probs"]).cast("byte")).alias("sizes"), F.unhex(basis).alias("basis"))
+
+
+def compact_distance(a: Column, b: Column) -> Column:
+    """``embedding_distance`` of two matrices by their ``compact`` forms."""
+    step = lambda s, n: F.struct((s["at"] + n).alias("at"), (s["sum"] + half(s["at"], n)).alias("sum"))
+    square = lambda at, n: F.aggregate(F.zip_with(F.slice(a["cells"], at, n), F.slice(b["cells"], at, n), lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
+    half = lambda at, n: F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 * square(at, n)))
+    total = F.aggregate(F.transform(a["sizes"], lambda n: n.cast("int")), F.struct(F.lit(1).alias("at"), F.lit(0.0).alias("sum")), step)["sum"]
+    d = F.sqrt(total / F.size(a["sizes"]))
+    out = F.when(a["cells"].isNotNull() & b["cells"].isNotNull(), d).otherwise(F.raise_error(F.lit("an answer matrix isn't complete")).cast("double"))
+    return F.when(a["basis"] == b["basis"], out).otherwise(F.raise_error(F.lit("answer matrices of different bases")).cast("double"))
+
+
+#: Rows of both sides that a task of a join should get.
+TASK_ROWS = 500_000
+
+
+def keyed_distances(left: DataFrame, right: DataFrame, key: str, matrix: str, *, name: str = "distance", task_rows: int = TASK_ROWS) -> DataFrame:
+    """``key, distance`` of the rows of two tables with equal keys, matrices in their ``compact`` form. The
+    tasks are chosen by the rows, not by the compressed bytes, which say little of what a sort holds."""
+    tasks = -(-(left.count() + right.count()) // task_rows)
+    a, b = left.select(key, F.col(matrix).alias("_a")), right.select(key, F.col(matrix).alias("_b"))
+    if tasks > 1:
+        a, b = a.repartition(tasks, key), b.repartition(tasks, key)
+    return a.join(b, key).select(key, compact_distance(F.col("_a"), F.col("_b")).alias(name))
+
+
 def embedding_distances(query: DataFrame, candidates: DataFrame, *, id_col: str, matrix: str = "matrix", top_k: int | None = None, basis: Basis | None = None) -> DataFrame:
     """``id, distance`` from one query row to every candidate: one row is broadcast, any number read."""
     if basis is not None:

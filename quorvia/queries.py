@@ -892,9 +892,8 @@ def embedding_distance_any_basis_whole(spark, d):
 
 
 def _next_distances(orders):
-    rows = M.embed(orders, BASIS, BOTH).select("o_orderkey", "matrix", "matrix_basis")
-    nxt = rows.select((col("o_orderkey") - 1).alias("o_orderkey"), col("matrix").alias("m2"), col("matrix_basis").alias("b2"))
-    return rows.join(nxt, "o_orderkey").select("o_orderkey", F.round(M.embedding_distance(col("matrix"), col("m2"), col("matrix_basis"), col("b2")), 6).alias("distance"))
+    rows = M.embed(orders, BASIS, BOTH).select("o_orderkey", M.compact(col("matrix"), col("matrix_basis")).alias("m"))
+    return M.keyed_distances(rows, rows.select((col("o_orderkey") - 1).alias("o_orderkey"), "m"), "o_orderkey", "m").select("o_orderkey", F.round("distance", 6).alias("distance"))
 
 
 @query("WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_distance(embedding::DOUBLE[], e), 8) AS distance FROM embeddings, q ORDER BY list_distance(embedding::DOUBLE[], e), vec_id LIMIT 20")

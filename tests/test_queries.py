@@ -113,3 +113,16 @@ def test_request_packing_goes_on_across_ranges(spark, tmp_path, monkeypatch):
     order = lambda rows: sorted(map(tuple, rows), key=str)
     assert order(got.collect()) == order(con.execute(f"SELECT {', '.join(got.columns)} FROM ({Q.SQL['request_packing']})").fetchall())
     assert got.rdd.getNumPartitions() > 8
+
+
+def test_distances_of_any_basis_in_many_tasks(spark):
+    rows = Q.M.embed(Q.Tables(spark, FOLDER).orders, Q.BASIS, Q.BOTH).select("o_orderkey", Q.M.compact(Q.col("matrix"), Q.col("matrix_basis")).alias("m"))
+    nxt = rows.select((Q.col("o_orderkey") - 1).alias("o_orderkey"), "m")
+    few, many = (Q.M.keyed_distances(rows, nxt, "o_orderkey", "m", task_rows=n) for n in (10**9, 100))
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) and many.rdd.getNumPartitions() > 8
+    assert "answers" not in many._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    other = nxt.withColumn("m", Q.col("m").withField("basis", Q.lit(b"x")))
+    gap = nxt.withColumn("m", Q.col("m").withField("cells", Q.lit(None).cast("array<double>")))
+    for wrong, text in ((other, "different bases"), (gap, "isn't complete")):
+        with pytest.raises(Exception, match=text):
+            Q.M.keyed_distances(rows, wrong, "o_orderkey", "m").collect()
