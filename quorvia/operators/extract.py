@@ -112,7 +112,7 @@ def extract_table(documents: DataFrame, columns: dict[str, dict], evaluator, *,
     rows = judge(rows, {"_record": proposition("record")}, evaluator, policy=policy).where("_record.value_bool").drop("_record")
     nth = W.partitionBy(id_col).orderBy("record")
     rows = rows.withColumn("_n", F.row_number().over(nth)).where(F.col("_n") <= max_rows + 1)
-    rows = rows.withColumn("truncated", F.max("_n").over(W.partitionBy(id_col)) > max_rows).where(F.col("_n") <= max_rows).drop("_n")
+    rows = rows.withColumn("truncated", F.max("_n").over(W.partitionBy(id_col)) > max_rows).where(F.col("_n") <= max_rows)
     for name, spec in columns.items():
         kind = spec.get("type", "text")
         if pattern := spec.get("pattern"):
@@ -124,15 +124,19 @@ def extract_table(documents: DataFrame, columns: dict[str, dict], evaluator, *,
                 return x.map(lambda t: [s["text"] for s in S.scalar_spans(t)])
 
             candidates = scalars(F.col("passage"))
-        cells = rows.select(id_col, "record", "passage", F.posexplode(candidates).alias("ordinal", "candidate"))
-        judged = judge(cells, {"_field": proposition(f"field:{name}")}, evaluator, policy=policy).where("_field.value_bool")
-        best = judged.groupBy(id_col, "record").agg(F.max(F.struct(F.col("_field.p_true").alias("p"), (-F.col("ordinal")).alias("o"), "candidate")).alias("b")).select(id_col, "record", F.col("b.candidate").alias(f"{name}_evidence"))
-        rows = rows.join(best, [id_col, "record"], "left")
+        # a record's candidates meet again by its number, where the window above has put its document
+        # already: nothing is joined, so no passage is cut out twice
+        cells = rows.select("*", F.posexplode_outer(candidates).alias("ordinal", "candidate"))
+        judged = judge(cells, {"_field": proposition(f"field:{name}")}, evaluator, policy=policy, context=[id_col, "record", "passage", "ordinal", "candidate"], needed=F.col("ordinal").isNotNull())
+        best = F.max(F.when(F.col("_field.value_bool"), F.struct(F.col("_field.p_true").alias("p"), (-F.col("ordinal")).alias("o"), "candidate")))
+        rest = [c for c in rows.columns if c not in (id_col, "_n")]
+        grouped = judged.groupBy(id_col, "_n").agg(*(F.first(c).alias(c) for c in rest), best.alias("_best"))
+        rows = grouped.select(*rows.columns, F.col("_best.candidate").alias(f"{name}_evidence"))
         ddl = {"text": "string", "integer": "bigint", "number": "decimal(38,10)", "date": "date"}[kind]
         options = {k: v for k, v in spec.items() if k in ("decimal", "group", "percent", "locale")}
 
         rows = rows.withColumn(name, _typed(ddl, kind, options)(F.col(f"{name}_evidence")))
-    whole = None
+    rows, whole = rows.drop("_n"), None
     for name in columns:
         whole = F.col(name).isNotNull() if whole is None else whole & F.col(name).isNotNull()
     if missing == "drop":

@@ -126,3 +126,9 @@ def test_distances_of_any_basis_in_many_tasks(spark):
     for wrong, text in ((other, "different bases"), (gap, "isn't complete")):
         with pytest.raises(Exception, match=text):
             Q.M.keyed_distances(rows, wrong, "o_orderkey", "m").collect()
+
+
+def test_extract_table_cuts_out_passages_once(spark):
+    got = Q.QUERIES["extract_table_whole"](spark, FOLDER)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Relation [") == 1
